@@ -6,8 +6,10 @@ from flowwatch.functions.scalar import (  # noqa: F401
     clock_text,
     coerce_numeric,
     first_value,
+    format_fixed,
     is_blank,
     round_half_away,
+    round_exact_half_even,
     round_half_even,
     scrub,
     severity_of,

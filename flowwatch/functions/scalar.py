@@ -76,6 +76,36 @@ def round_half_even(c, digits: int) -> Column:
     return F.rint(_col(c).cast("double") * scale) / scale
 
 
+def round_exact_half_even(c, digits: int) -> Column:
+    """Correct rounding of the *exact* binary value (as printf / Python format).
+
+    ``x * 10^d`` may round onto a .5 tie that the exact product is not on
+    (2.675 -> 267.5); the exact product error is recovered with Dekker's
+    error-free product (Veltkamp split; ``10^d`` has few bits, ``d <= 7``) and
+    decides such ties.  Built-in arithmetic only.
+    """
+    if not 0 <= digits <= 7:
+        raise ValueError("digits must be in 0..7")
+    scale = float(10 ** digits)
+    x = _col(c).cast("double")
+    p = x * scale
+    split = x * 134217729.0
+    hi = split - (split - x)
+    lo = x - hi
+    err = (hi * scale - p) + lo * scale
+    fl = F.floor(p).cast("double")
+    tie = (p - fl) == 0.5
+    r = (F.when(tie & (err > 0), fl + 1.0)
+         .when(tie & (err < 0), fl)
+         .otherwise(F.rint(p)))
+    return r / scale
+
+
+def format_fixed(c, digits: int) -> Column:
+    """``'%.{digits}f'`` with the rounding of printf / Python formatting."""
+    return F.format_string(f"%.{digits}f", round_exact_half_even(c, digits))
+
+
 def round_half_away(c, digits: int) -> Column:
     """C17: half-away-from-zero rounding of a double."""
     scale = float(10 ** digits)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowwatch import config as C
 from flowwatch.config import DEFAULT, Thresholds
-from flowwatch.functions import round_half_even
+from flowwatch.functions import format_fixed
 from flowwatch.operators.throttle import greedy_throttle
 
 
@@ -50,7 +50,7 @@ def notice_records(scored: DataFrame) -> DataFrame:
 
 
 def _fixed(x, digits: int):
-    return F.format_string(f"%.{digits}f", round_half_even(x, digits))
+    return format_fixed(x, digits)
 
 
 def with_text(notices: DataFrame, clock: str = "timestamp") -> DataFrame:

@@ -203,7 +203,7 @@ def _text(s, sf):
 
 
 def _p(x, d):
-    return f"printf('%.{d}f', {O.rhe(x, d)})"
+    return f"printf('%.{d}f', cast({x} AS double))"
 
 
 register("notice_text", W(*ALERTS_LISTS, NOTICES) + f"""
