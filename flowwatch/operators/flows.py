@@ -178,14 +178,20 @@ def _derive(m: DataFrame, keys: list[str], th: Thresholds, carry=()) -> DataFram
 def flow_features(pk: DataFrame, th: Thresholds = DEFAULT, sub_us: int = SUB_US) -> DataFrame:
     """Per (window_id, src_ip) features of gated windows.
 
-    ``pk`` is the output of :func:`assign_windows`.
+    ``pk`` is the output of :func:`assign_windows`.  Partials are built over
+    all packets (blank sources included), and the window gate is a window
+    sum over the merged (window, source) rows -- one pass over the packets
+    feeds both the features and the gate, and the gate's exchange moves
+    aggregated rows only.  Blank sources are dropped after the gate.
     """
-    valid = valid_sources(pk)
     sub = idiv(F.col("ts_us"), sub_us)
     carry = ["window_start_us"] if "window_start_us" in pk.columns else []
-    merged = _merge(_partials(valid, FLOW_KEYS, sub, carry), FLOW_KEYS, "_sub", carry)
-    flows = merged.join(_distinct_targets(valid, FLOW_KEYS), FLOW_KEYS)
-    return _derive(apply_gate(flows, pk, th), FLOW_KEYS, th, carry)
+    merged = _merge(_partials(pk, FLOW_KEYS, sub, carry), FLOW_KEYS, "_sub", carry)
+    window_packets = F.sum("n").over(Window.partitionBy("window_id"))
+    flows = (merged.withColumn("_wp", window_packets)
+             .filter((F.col("_wp") >= th.min_window_packets) & ~is_blank("src_ip")).drop("_wp"))
+    flows = flows.join(_distinct_targets(valid_sources(pk), FLOW_KEYS), FLOW_KEYS)
+    return _derive(flows, FLOW_KEYS, th, carry)
 
 
 def flow_features_global(clean: DataFrame, th: Thresholds = DEFAULT, sub_us: int = SUB_US,

@@ -73,8 +73,19 @@ def packet_view(events: DataFrame) -> DataFrame:
     return events.selectExpr(*_VIEW_BASE).selectExpr("*", _VIEW_TCP).selectExpr(*_VIEW_COLS)
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Round-robin an input whose scan yields fewer splits than the cluster has
+    cores (e.g. one parquet row group), so the CPU-heavy per-row parsing runs
+    on every core.  Large inputs already have more splits than cores and are
+    returned unchanged (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packet_view(read_table(spark, sf_dir, "events"))
+    return packet_view(spread_small_input(read_table(spark, sf_dir, "events")))
 
 
 # ---------------------------------------------------------------------------
