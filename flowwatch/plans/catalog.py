@@ -234,3 +234,45 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from flowwatch.plans import catalog_learning, catalog_reports  # noqa: F401
     return dict(_SQL)
+
+
+# ---------------------------------------------------------------------------
+# late additions: C11 scrub, H6 union, D21 profile
+# ---------------------------------------------------------------------------
+
+def _scrub_sql(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL OR isnan(cast({c} AS double)) OR abs(cast({c} AS double)) = 'Infinity'::double "
+            f"THEN 0.0 ELSE cast({c} AS double) END AS {c}")
+
+
+def _scrubbed(s, sf):
+    from flowwatch.functions import scrub
+    f = flow_features(_pk(s, sf))
+    return f.select("window_id", "src_ip", *[scrub(c).alias(c) for c in C.FEATURE_COLS])
+
+
+register("scrub_features", W(*BASE) + "SELECT window_id, src_ip, "
+         + ", ".join(_scrub_sql(c) for c in C.FEATURE_COLS) + " FROM flows")(_scrubbed)
+
+
+def _union(s, sf):
+    from flowwatch.sources.packets import union_packets
+    raw = _raw(s, sf)
+    web = F.col("protocol").isin("HTTP", "TLSv1.2")
+    return union_packets(raw.filter(web), raw.filter(~web | F.col("protocol").isNull())).select(
+        "frame_no", "ts_us", "src_ip", "dst_ip", "protocol")
+
+
+register("packet_union", W(O.PACKETS) + """
+SELECT frame_no, ts_us, src_ip, dst_ip, protocol FROM packets WHERE protocol IN ('HTTP', 'TLSv1.2')
+UNION ALL
+SELECT frame_no, ts_us, src_ip, dst_ip, protocol FROM packets WHERE protocol NOT IN ('HTTP', 'TLSv1.2') OR protocol IS NULL""")(
+    _union)
+
+
+def _profile(s, sf):
+    from flowwatch.operators.profile import column_profile
+    return column_profile(_raw(s, sf))
+
+
+register("column_profile")(_profile)

@@ -184,7 +184,9 @@ def trained_model(s, sf):
         sp = _split(s, sf)
         train = sp.filter("NOT is_test").drop("prediction", "is_test")
         scaler = ml.fit_scaler(_labelled(s, sf))   # fitted before the split, as the original (Q15)
+        train = train.cache()                      # the forest makes several passes over its input
         _MODELS[key] = ml.fit_forest(train, scaler)
+        train.unpersist()
     return _MODELS[key]
 
 

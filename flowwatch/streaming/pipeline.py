@@ -95,14 +95,19 @@ def _gap_moment(times: F.Column) -> F.Column:
 @dataclass
 class StreamSinks:
     root: str
+    notify_cfg: dict | None = None
     alerts: str = field(init=False)
     protocols: str = field(init=False)
     state: str = field(init=False)
+    outbox: str = field(init=False)
+    throttle_state: str = field(init=False)
 
     def __post_init__(self):
         self.alerts = os.path.join(self.root, "alerts")
         self.protocols = os.path.join(self.root, "protocol_breakdown")
         self.state = os.path.join(self.root, "state")
+        self.outbox = os.path.join(self.root, "outbox")
+        self.throttle_state = os.path.join(self.root, "throttle_state")
 
 
 def _previous_state(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame | None:
@@ -138,8 +143,11 @@ def process_batch(batch: DataFrame, batch_id: int, det: Detector, sinks: StreamS
     state = (rolled.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= keep)
              .select(*flows.columns))
     append_table(state, sinks.state, batch_id)
-    scored = score_flows(rolled.filter("_new").drop("_new"), det)
+    scored = score_flows(rolled.filter("_new").drop("_new"), det).cache()
     append_table(to_alerts(scored), sinks.alerts, batch_id)
+    if sinks.notify_cfg is not None:
+        _notices_batch(scored, batch_id, det, sinks)
+    scored.unpersist()
     protos = (rows.filter(~is_blank("src_ip")).select(*FLOW_KEYS, F.explode("_protos").alias("p"))
               .filter(~is_blank(F.col("p.protocol")))
               .groupBy(*FLOW_KEYS, F.col("p.protocol").alias("protocol"))
@@ -148,12 +156,53 @@ def process_batch(batch: DataFrame, batch_id: int, det: Detector, sinks: StreamS
     rolled.unpersist()
 
 
+def _notices_batch(scored: DataFrame, batch_id: int, det: Detector, sinks: StreamSinks) -> None:
+    """S3: keyed throttle across batches.
+
+    The state is one row per source (last kept time).  It is prepended to the
+    batch's notices as the earliest row of its key, so the same exact greedy
+    throttle continues the chain; the new snapshot is written to
+    ``throttle_state/batch_id=N`` (idempotent on retry).
+    """
+    from flowwatch.functions import clock_text
+    from flowwatch.operators import notify
+    from flowwatch.operators.throttle import greedy_throttle
+    spark = scored.sparkSession
+    notices = notify.notice_records(scored).withColumn("timestamp", clock_text(F.col("window_start_us")))
+    keys = notices.select("source_ip", "window_id", "window_start_us")
+    prev = _previous_state(spark, sinks.throttle_state, batch_id, None)
+    if prev is not None:
+        seed = prev.select("source_ip", F.lit(-1).cast("bigint").alias("window_id"),
+                           F.col("last_kept_us").alias("window_start_us"))
+        keys = seed.unionByName(keys)
+    kept = greedy_throttle(keys, ["source_ip"], "window_start_us", "window_id",
+                           det.th.throttle_s * 1_000_000).cache()
+    state = kept.groupBy("source_ip").agg(F.max("window_start_us").alias("last_kept_us"))
+    append_table(state, sinks.throttle_state, batch_id)
+    sent = notices.join(kept.filter(F.col("window_id") >= 0).select("source_ip", "window_id"),
+                        ["source_ip", "window_id"], "left_semi")
+    cfg = sinks.notify_cfg
+    out = notify.with_payload(notify.fan_out(notify.with_text(sent), notify.enabled_channels(cfg)), cfg)
+    append_table(out, sinks.outbox, batch_id)
+    kept.unpersist()
+
+
+def late_rows(query) -> int:
+    """Rows dropped by the watermark so far (from the query's progress)."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
+            v = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
+            total += int(v or 0)
+    return total
+
+
 def start_detection_stream(spark: SparkSession, source: DataFrame, out_root: str, checkpoint: str,
                            det: Detector | None = None, watermark: str = "4 seconds", origin_us: int = 0,
-                           trigger: dict | None = None):
+                           trigger: dict | None = None, notify_cfg: dict | None = None):
     """Start the continuous pipeline; returns the ``StreamingQuery``."""
     det = det or Detector()
-    sinks = StreamSinks(out_root)
+    sinks = StreamSinks(out_root, notify_cfg)
     agg = window_aggregates(source, det.th, watermark, origin_us)
     w = (agg.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: process_batch(df, bid, det, sinks)))

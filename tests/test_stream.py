@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from flowwatch.operators.clean import clean_packets
 from flowwatch.operators.flows import window_origin
-from flowwatch.plans.pipeline import alerts
+from flowwatch.operators import notify
+from flowwatch.plans.pipeline import Detector, alerts, detect
 from flowwatch.sources.packets import RAW_ORDER, packets_from_events
-from flowwatch.streaming.pipeline import packet_stream, start_detection_stream
+from flowwatch.streaming.pipeline import late_rows, packet_stream, start_detection_stream
 
 from conftest import SF001
 
@@ -27,12 +28,23 @@ def test_stream_equals_batch(spark, tmp):
     for c in RAW_ORDER[2:]:
         flush = flush.withColumn(c, F.lit(None).cast("string"))
     flush.write.mode("append").parquet(inp)               # closes the last windows
+    late = flush.withColumn("ts_us", F.lit(lo)).withColumn("src_ip", F.lit("10.9.9.9"))
+    late.write.mode("append").parquet(inp)                # far behind the watermark: dropped
     out = os.path.join(tmp, "out")
+    intel = spark.createDataFrame([("10.0.0.9",)], "ip string")
+    det = Detector(intel=intel)
+    cfg = {"email": {"enabled": True}, "discord": {"enabled": True}}
     q = start_detection_stream(spark, packet_stream(spark, inp, max_files_per_trigger=1), out,
-                               os.path.join(tmp, "ckpt"), origin_us=t0, trigger={"availableNow": True})
+                               os.path.join(tmp, "ckpt"), det=det, origin_us=t0, trigger={"availableNow": True},
+                               notify_cfg=cfg)
     q.awaitTermination(600)
+    assert late_rows(q) >= 1
     got = spark.read.parquet(os.path.join(out, "alerts")).drop("batch_id")
-    want = alerts(raw)
+    want = alerts(raw, det)
     cols = want.columns
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.collect()))
     assert spark.read.parquet(os.path.join(out, "state")).select("batch_id").distinct().count() >= 2
+    outbox = spark.read.parquet(os.path.join(out, "outbox")).select("window_id", "source_ip", "channel", "payload")
+    batch_outbox = notify.outbox(detect(raw, det), cfg).select("window_id", "source_ip", "channel", "payload")
+    assert outbox.count() > 0
+    assert sorted(map(tuple, outbox.collect())) == sorted(map(tuple, batch_outbox.collect()))
