@@ -86,16 +86,22 @@ def spec_metrics(conf: DataFrame) -> DataFrame:
     )
 
 
-def classification_report(df: DataFrame, classes, truth: str = "label", pred: str = "prediction",
-                          names: dict | None = None) -> DataFrame:
-    """Per-class precision/recall/F1/support, accuracy, macro and weighted averages."""
+def classification_report(df: DataFrame, classes=(0, 1, 2), truth: str = "label", pred: str = "prediction",
+                          names: dict | None = None, present: DataFrame | None = None) -> DataFrame:
+    """Per-class precision/recall/F1/support, accuracy, macro and weighted averages.
+
+    Only classes that occur in ``present`` (default ``df``) get a row and count
+    in the macro average; presence is a one-row aggregate joined in the plan.
+    """
     names = names or {}
+    present = df if present is None else present
+    flags = present.agg(*[(F.count_if(F.col(truth) == c) > 0).alias(f"in{c}") for c in classes])
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth) == F.col(pred)).alias("correct")]
     for c in classes:
         aggs += [F.count_if((F.col(truth) == c) & (F.col(pred) == c)).alias(f"tp{c}"),
                  F.count_if(F.col(pred) == c).alias(f"pp{c}"),
                  F.count_if(F.col(truth) == c).alias(f"s{c}")]
-    row = df.agg(*aggs)
+    row = df.agg(*aggs).withColumn("_k", F.lit(1)).join(flags.withColumn("_k", F.lit(1)), "_k")
     per = []
     for c in classes:
         tp, pp, s = F.col(f"tp{c}"), F.col(f"pp{c}"), F.col(f"s{c}")
@@ -103,29 +109,36 @@ def classification_report(df: DataFrame, classes, truth: str = "label", pred: st
         r = F.when(s > 0, tp / s).otherwise(F.lit(0.0))
         f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
         per.append(F.struct(F.lit(names.get(c, str(c))).alias("class"), p.alias("precision"),
-                            r.alias("recall"), f.alias("f1_score"), s.alias("support")))
-    k = float(len(classes))
+                            r.alias("recall"), f.alias("f1_score"), s.alias("support"),
+                            F.col(f"in{c}").alias("present")))
     cls = row.select("n", "correct", F.array(*per).alias("rows"))
     ps = [F.col("rows")[i] for i in range(len(classes))]
-    macro = F.struct(F.lit("macro avg").alias("class"),
-                     (sum(x["precision"] for x in ps) / k).alias("precision"),
-                     (sum(x["recall"] for x in ps) / k).alias("recall"),
-                     (sum(x["f1_score"] for x in ps) / k).alias("f1_score"),
-                     F.col("n").alias("support"))
+
+    def psum(field, weight=None):
+        terms = [F.when(x["present"], x[field] * (x[weight] if weight else F.lit(1.0))).otherwise(F.lit(0.0))
+                 for x in ps]
+        return sum(terms[1:], terms[0])
+
+    k = sum([F.when(x["present"], F.lit(1.0)).otherwise(F.lit(0.0)) for x in ps[1:]],
+            F.when(ps[0]["present"], F.lit(1.0)).otherwise(F.lit(0.0)))
     nn = F.col("n")
+    macro = F.struct(F.lit("macro avg").alias("class"), (psum("precision") / k).alias("precision"),
+                     (psum("recall") / k).alias("recall"), (psum("f1_score") / k).alias("f1_score"),
+                     nn.alias("support"), F.lit(True).alias("present"))
     weighted = F.struct(F.lit("weighted avg").alias("class"),
-                        (sum(x["precision"] * x["support"] for x in ps) / nn).alias("precision"),
-                        (sum(x["recall"] * x["support"] for x in ps) / nn).alias("recall"),
-                        (sum(x["f1_score"] * x["support"] for x in ps) / nn).alias("f1_score"),
-                        nn.alias("support"))
+                        (psum("precision", "support") / nn).alias("precision"),
+                        (psum("recall", "support") / nn).alias("recall"),
+                        (psum("f1_score", "support") / nn).alias("f1_score"),
+                        nn.alias("support"), F.lit(True).alias("present"))
     acc = F.struct(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
                    F.lit(None).cast("double").alias("recall"),
                    F.when(nn > 0, F.col("correct") / nn).otherwise(F.lit(0.0)).alias("f1_score"),
-                   nn.alias("support"))
+                   nn.alias("support"), F.lit(True).alias("present"))
     allr = cls.select(F.explode(F.concat(F.col("rows"), F.array(acc, macro, weighted))).alias("r"))
-    return allr.select(F.col("r.class").alias("class"), _r(F.col("r.precision")).alias("precision"),
-                       _r(F.col("r.recall")).alias("recall"), _r(F.col("r.f1_score")).alias("f1_score"),
-                       F.col("r.support").cast("bigint").alias("support"))
+    return allr.filter(F.col("r.present")).select(
+        F.col("r.class").alias("class"), _r(F.col("r.precision")).alias("precision"),
+        _r(F.col("r.recall")).alias("recall"), _r(F.col("r.f1_score")).alias("f1_score"),
+        F.col("r.support").cast("bigint").alias("support"))
 
 
 # ---------------------------------------------------------------------------

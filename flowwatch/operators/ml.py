@@ -87,25 +87,34 @@ def _hash(key_cols: list[str], seed: int) -> F.Column:
 
 
 def train_test_split(df: DataFrame, key_cols: list[str], label: str = "label",
-                     test_frac: float = 0.2, seed: int = 42, stratify: bool = True) -> DataFrame:
+                     test_frac: float = 0.2, seed: int = 42, stratify: bool = True,
+                     materialize: bool = True) -> DataFrame:
     """Adds ``is_test``.  Stratified: per label exactly ``round(frac * n_label)``
     rows with the smallest hashes; plain (or when a label has < 2 rows): hash
-    below ``frac`` of the hash range (no shuffle at all)."""
+    below ``frac`` of the hash range.  The stratified/plain choice is made in
+    the plan (a one-row aggregate), not on the driver.
+
+    The stratified form reads its input several times (histogram, boundary,
+    rows); with ``materialize`` the input is checkpointed once to the shared
+    checkpoint folder so upstream work (flow features) is not recomputed.
+    """
     h = _hash(key_cols, seed)
     df = df.withColumn("_h", h)
+    if stratify and materialize:
+        df = df.checkpoint(eager=True)
     plain_cut = format(int(test_frac * 0xFFFFFFFF), "08x")
-    if stratify:
-        per_label = df.groupBy(label).count()
-        if per_label.agg(F.min("count")).first()[0] < 2:
-            stratify = False
+    plain = F.substring("_h", 1, 8) < F.lit(plain_cut)
     if not stratify:
-        return df.withColumn("is_test", F.substring("_h", 1, 8) < F.lit(plain_cut)).drop("_h")
+        return df.withColumn("is_test", plain).drop("_h")
     df = df.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     hist = df.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wl = Window.partitionBy(label)
     wc = wl.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = (hist.withColumn("_cum", F.sum("_c").over(wc))
-            .withColumn("_k", F.round(F.sum("_c").over(wl) * F.lit(test_frac)).cast("bigint")))
+            .withColumn("_n", F.sum("_c").over(wl))
+            .withColumn("_k", F.round(F.col("_n") * F.lit(test_frac)).cast("bigint")))
+    # smallest class size decides stratified vs plain (scalar subquery, no driver action)
+    smallest = hist.groupBy(label).agg(F.sum("_c").alias("_n")).agg(F.min("_n")).scalar()
     # boundary bucket per label: first bucket whose cumulative count reaches k
     bound = (hist.filter(F.col("_cum") >= F.col("_k"))
              .groupBy(label).agg(F.min(F.struct("_b", "_cum", "_c", "_k")).alias("_s"))
@@ -117,8 +126,9 @@ def train_test_split(df: DataFrame, key_cols: list[str], label: str = "label",
     inb = df.filter(F.col("_b") == F.col("_bb")).withColumn("_rn", F.row_number().over(wb))
     rest = df.filter(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))).withColumn("_rn", F.lit(None).cast("int"))
     allr = inb.unionByName(rest)
-    is_test = (F.col("_bb").isNotNull() &
-               ((F.col("_b") < F.col("_bb")) | ((F.col("_b") == F.col("_bb")) & (F.col("_rn") <= F.col("_need")))))
+    strat = (F.col("_bb").isNotNull() &
+             ((F.col("_b") < F.col("_bb")) | ((F.col("_b") == F.col("_bb")) & (F.col("_rn") <= F.col("_need")))))
+    is_test = F.when(smallest < 2, plain).otherwise(strat)
     return allr.withColumn("is_test", is_test).drop("_h", "_b", "_bb", "_need", "_rn")
 
 
@@ -191,12 +201,17 @@ def fit_kmeans(flows: DataFrame, k: int = 3, restarts: int = 10, seed: int = 42)
     scaler = fit_scaler(flows)
     data = VectorAssembler(inputCols=SCALED, outputCol="features").transform(apply_scaler(flows, scaler))
     data = data.select(*[c for c in data.columns if c not in SCALED]).cache()
-    best = None
-    for i in range(restarts):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(i):
         m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(data)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
+        return m.summary.trainingCost, i, m
+
+    # restarts are independent Spark jobs: submit them concurrently
+    with ThreadPoolExecutor(max_workers=min(restarts, 4)) as pool:
+        fits = list(pool.map(fit, range(restarts)))
+    best = min(fits, key=lambda f: (f[0], f[1]))
+    best = (best[0], best[2])
     clustered = best[1].transform(data).drop("features")
     data.unpersist()
     return best[1], clustered

@@ -98,12 +98,8 @@ register("spec_metrics", W(*ALERTS_PLAIN, LAB, _spec_sql(BIN)))(
     lambda s, sf: E.spec_metrics(E.binary_confusion(_test(s, sf))))
 
 
-def _present(s, sf):
-    return sorted(r[0] for r in _labelled(s, sf).select("label").distinct().collect())
-
-
 def _report(s, sf):
-    return E.classification_report(_test(s, sf), _present(s, sf))
+    return E.classification_report(_test(s, sf), present=_labelled(s, sf))
 
 
 def _report_sql() -> str:
@@ -115,21 +111,28 @@ def _report_sql() -> str:
     cnt = ", ".join(f"count(*) FILTER (WHERE label = {c} AND prediction = {c}) AS tp{c}, "
                     f"count(*) FILTER (WHERE prediction = {c}) AS pp{c}, count(*) FILTER (WHERE label = {c}) AS s{c}"
                     for c in (0, 1, 2))
+    def term(c, field, weighted=False):
+        w = f" * support" if weighted else ""
+        return f"coalesce((SELECT {field}{w} FROM pcf WHERE o = {c}), 0.0)"
+
+    def tsum(field, weighted=False):
+        return "(" + " + ".join(term(c, field, weighted) for c in (0, 1, 2)) + ")"
+
+    fmt = dict(psum_p=tsum("p"), psum_r=tsum("r"), psum_f=tsum("f"),
+               wsum_p=tsum("p", True), wsum_r=tsum("r", True), wsum_f=tsum("f", True))
     return f"""
 agg AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = prediction) AS correct, {cnt} FROM test),
 pc AS ({' UNION ALL '.join(per)}),
 pcf AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM pc
         WHERE o IN (SELECT DISTINCT label FROM lab)),
-piv AS (SELECT * FROM pcf),
-p0 AS (SELECT * FROM pcf WHERE o = 0), p1 AS (SELECT * FROM pcf WHERE o = 1), p2 AS (SELECT * FROM pcf WHERE o = 2),
+g AS (SELECT * FROM pcf),
+cp AS (SELECT {fmt['psum_p']} AS sp, {fmt['psum_r']} AS sr, {fmt['psum_f']} AS sf, {fmt['wsum_p']} AS wp, {fmt['wsum_r']} AS wr, {fmt['wsum_f']} AS wf,
+          (SELECT count(*) FROM pcf) AS k FROM (SELECT 1) one),
 rows AS (
   SELECT class, p, r, f, support FROM pcf
   UNION ALL SELECT 'accuracy', NULL, NULL, CASE WHEN n > 0 THEN correct / n ELSE 0.0 END, n FROM agg
-  UNION ALL SELECT 'macro avg', (p0.p + p1.p + p2.p) / 3.0, (p0.r + p1.r + p2.r) / 3.0, (p0.f + p1.f + p2.f) / 3.0, n
-    FROM agg, p0, p1, p2
-  UNION ALL SELECT 'weighted avg', (p0.p * p0.support + p1.p * p1.support + p2.p * p2.support) / n,
-    (p0.r * p0.support + p1.r * p1.support + p2.r * p2.support) / n,
-    (p0.f * p0.support + p1.f * p1.support + p2.f * p2.support) / n, n FROM agg, p0, p1, p2)
+  UNION ALL SELECT 'macro avg', sp / k, sr / k, sf / k, n FROM agg, cp
+  UNION ALL SELECT 'weighted avg', wp / n, wr / n, wf / n, n FROM agg, cp)
 SELECT class, {O.rhe('p', 6)} AS precision, {O.rhe('r', 6)} AS recall, {O.rhe('f', 6)} AS f1_score,
   cast(support AS bigint) AS support FROM rows"""
 

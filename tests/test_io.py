@@ -80,3 +80,20 @@ def test_scaler_population_std(spark):
     s = ml.fit_scaler(df)
     mean, std = s["total_packets"]
     assert mean == 2.0 and abs(std - (2 / 3) ** 0.5) < 1e-12
+
+
+def test_benchmark_csv_and_latency(spark, tmp):
+    from flowwatch.operators import evaluate as E
+    from flowwatch.sources.tables import read_benchmark_csv
+    p = os.path.join(tmp, "bench.csv")
+    with open(p, "w") as f:
+        f.write(" Flow Duration,Total Fwd Packets,Flow Packets/s,SYN Flag Count,Label\n")
+        f.write("1.5,10,2000,5,BENIGN\n2,20,Infinity,1,DoS Hulk\n3,30,5,0,benign\n4,1,1,0,\n")
+    df = read_benchmark_csv(spark, p)
+    rows = df.orderBy("flow_duration_sec").collect()
+    assert [r.total_packets for r in rows] == [10.0, 20.0, 30.0, 1.0]
+    assert rows[1].packets_per_second == 0.0 and rows[0].unique_target_ports == 0.0
+    truth = [r[0] for r in df.orderBy("flow_duration_sec").select(E.binary_truth("Label")).collect()]
+    assert truth == [0, 1, 0, 1]
+    flows = ml.with_weak_label(df)
+    assert E.decision_latency_ms(flows) >= 0.0
