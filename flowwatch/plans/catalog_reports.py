@@ -165,7 +165,8 @@ err AS (SELECT user_id % 8 AS notice_key, event_id, date_diff('microsecond', TIM
 def _event_throttle(s, sf):
     ev = read_table(s, sf, "events").filter(F.col("event_type") == "error").select(
         (F.col("user_id") % 8).alias("notice_key"), "event_id",
-        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)").alias("t_us"))
+        F.expr("cast(datediff(to_date(ts), DATE'2024-01-01') AS bigint) * 86400000000 + cast(hour(ts) AS bigint) * 3600000000"
+               " + cast(minute(ts) AS bigint) * 60000000 + cast(extract(SECOND FROM ts) * 1000000 AS bigint)").alias("t_us"))
     return greedy_throttle(ev, ["notice_key"], "t_us", "event_id", C.Thresholds().throttle_s * 1_000_000)
 
 

@@ -32,7 +32,9 @@ _VIEW_BASE = [
     "event_id", "event_type", "value",
     "user_id % 16 AS c",
     "cast(get_json_object(props, '$.k') AS bigint) AS k",
-    "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) AS us",
+    # microseconds since 2024-01-01 from wall-clock fields: time-zone free for TIMESTAMP_NTZ
+    "cast(datediff(to_date(ts), DATE'2024-01-01') AS bigint) * 86400000000 + cast(hour(ts) AS bigint) * 3600000000"
+    " + cast(minute(ts) AS bigint) * 60000000 + cast(extract(SECOND FROM ts) * 1000000 AS bigint) AS us",
 ]
 _VIEW_TCP = "(c IN (0,1,2,4,5) OR event_type IN ('click','view','purchase')) AS is_tcp"
 _VIEW_COLS = [

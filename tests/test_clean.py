@@ -72,3 +72,21 @@ def test_ip_list(spark, tmp):
     raw = sorted(r.ip for r in read_ip_list(spark, p, strip_inline_comments=False).collect())
     assert "10.0.0.5   # dashboard host" in raw
     assert read_ip_list(spark, os.path.join(tmp, "missing.txt")).count() == 0
+
+
+def test_packet_time_is_time_zone_free(spark):
+    import datetime as dt
+    from flowwatch.sources.packets import packet_view
+    rows = [(1, dt.datetime(2024, 3, 10, 12, 59, 59, 123456), 5, "click", 1.0, '{"k": 1}')]
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+                                     "value double, props string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        out = []
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            out.append(packet_view(ev).first().ts_us)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    us = (dt.datetime(2024, 3, 10, 12, 59, 59, 123456) - dt.datetime(2024, 1, 1)) // dt.timedelta(microseconds=1)
+    assert out == [1704067200000000 + us // 16384] * 3
