@@ -53,3 +53,18 @@ def test_alert_plan_is_jvm_only(spark):
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             assert "HashAggregate" in lines[i + 1] and "partial_" in lines[i + 1]
+
+
+def test_rolling_blocks_equal_single_frame(spark):
+    from flowwatch.operators.rolling import rolling_state
+    from pyspark.sql import Window
+    pk = assign_windows(clean_packets(packets_from_events(spark, SF001)))
+    flows = flow_features(pk)
+    w = Window.partitionBy("src_ip").orderBy("window_id").rowsBetween(-14, 0)
+    ref = flows.select("window_id", "src_ip", F.count(F.lit(1)).over(w).alias("a"),
+                       F.sum("total_packets").over(w).alias("b"), F.sum("unique_target_ports").over(w).alias("c"),
+                       F.sum(F.col("total_syn_flags").cast("bigint")).over(w).alias("d"))
+    cols = ["window_id", "src_ip", "rolling_windows", "rolling_packets", "rolling_unique_ports", "rolling_syn"]
+    for block in (1, 3, 17, 4096):
+        got = rolling_state(flows, block_windows=block).select(*cols)
+        assert _rows(got) == _rows(ref), block
