@@ -24,8 +24,19 @@ BLOCK_WINDOWS = 4096          # ~2.3 h of 2 s windows per (source, block) partit
 _HIST = ["window_id", "total_packets", "unique_target_ports", "_syn"]
 
 
-def rolling_state(flows: DataFrame, th: Thresholds = DEFAULT, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def rolling_state(flows: DataFrame, th: Thresholds = DEFAULT, block_windows: int | None = BLOCK_WINDOWS) -> DataFrame:
+    """``block_windows=None``: one frame per source (for inputs already bounded
+    per source, e.g. a micro-batch plus its 14-row state)."""
     n = th.rolling_windows - 1
+    if block_windows is None:
+        w = Window.partitionBy("src_ip").orderBy("window_id").rowsBetween(-n, Window.currentRow)
+        return flows.select(
+            "*",
+            F.count(F.lit(1)).over(w).alias("rolling_windows"),
+            F.sum("total_packets").over(w).alias("rolling_packets"),
+            F.sum("unique_target_ports").over(w).alias("rolling_unique_ports"),
+            F.sum(F.col("total_syn_flags").cast("bigint")).over(w).alias("rolling_syn"),
+        )
     f = (flows.withColumn("_syn", F.col("total_syn_flags").cast("bigint"))
          .withColumn("_blk", idiv(F.col("window_id"), block_windows)))
     # tail of each (source, block): its last n flows (partition bounded by the block)

@@ -110,20 +110,41 @@ class StreamSinks:
         self.throttle_state = os.path.join(self.root, "throttle_state")
 
 
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _previous_state(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame | None:
-    try:
-        st = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  (no snapshot yet)
+    """Snapshot written by the previous batch (``batch_id = N - 1``).
+
+    Every executed batch writes its snapshot and batch ids are consecutive,
+    so a (re)run of batch N reads exactly the state batch N - 1 left.
+    """
+    prev = os.path.join(path, f"batch_id={batch_id - 1}")
+    if batch_id == 0 or not _path_exists(spark, prev):
         return None
-    st = st.filter(F.col("batch_id") < batch_id)
-    newest = st.agg(F.max("batch_id")).scalar()
-    return st.filter(F.col("batch_id") == newest).drop("batch_id")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(prev)
+
+
+def _write_all(jobs) -> None:
+    """Run independent sink writes as concurrent Spark jobs."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        for f in [pool.submit(j) for j in jobs]:
+            f.result()
 
 
 def process_batch(batch: DataFrame, batch_id: int, det: Detector, sinks: StreamSinks) -> None:
-    """Gate -> features -> rolling (stateful) -> layers -> idempotent writes."""
+    """Gate -> features -> rolling (stateful) -> layers -> idempotent writes.
+
+    The micro-batch frame feeds several writes, so it is persisted once
+    (otherwise every action re-executes the stateful window aggregate)."""
     spark = batch.sparkSession
     th = det.th
+    batch = batch.persist()
     gate = (batch.groupBy("window_id").agg(F.sum("n").alias("_wp"))
             .filter(F.col("_wp") >= th.min_window_packets).select("window_id"))
     rows = batch.join(gate, "window_id")
@@ -137,23 +158,26 @@ def process_batch(batch: DataFrame, batch_id: int, det: Detector, sinks: StreamS
     prev = _previous_state(spark, sinks.state, batch_id, flows.schema)
     mine = flows.withColumn("_new", F.lit(True))
     both = mine if prev is None else prev.withColumn("_new", F.lit(False)).unionByName(mine)
-    rolled = rolling_state(both, th).cache()
+    # a batch holds a few windows per source plus <= 14 state rows: one frame per source
+    rolled = rolling_state(both, th, block_windows=None).cache()
     w = Window.partitionBy("src_ip").orderBy(F.col("window_id").desc())
     keep = th.rolling_windows - 1
     state = (rolled.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= keep)
              .select(*flows.columns))
-    append_table(state, sinks.state, batch_id)
     scored = score_flows(rolled.filter("_new").drop("_new"), det).cache()
-    append_table(to_alerts(scored), sinks.alerts, batch_id)
-    if sinks.notify_cfg is not None:
-        _notices_batch(scored, batch_id, det, sinks)
-    scored.unpersist()
     protos = (rows.filter(~is_blank("src_ip")).select(*FLOW_KEYS, F.explode("_protos").alias("p"))
               .filter(~is_blank(F.col("p.protocol")))
               .groupBy(*FLOW_KEYS, F.col("p.protocol").alias("protocol"))
               .agg(F.count(F.lit(1)).alias("packets"), F.sum("p.frame_len").alias("bytes")))
-    append_table(protos, sinks.protocols, batch_id)
+    jobs = [lambda: append_table(state, sinks.state, batch_id),
+            lambda: append_table(to_alerts(scored), sinks.alerts, batch_id),
+            lambda: append_table(protos, sinks.protocols, batch_id)]
+    if sinks.notify_cfg is not None:
+        jobs.append(lambda: _notices_batch(scored, batch_id, det, sinks))
+    _write_all(jobs)
+    scored.unpersist()
     rolled.unpersist()
+    batch.unpersist()
 
 
 def _notices_batch(scored: DataFrame, batch_id: int, det: Detector, sinks: StreamSinks) -> None:
@@ -170,7 +194,7 @@ def _notices_batch(scored: DataFrame, batch_id: int, det: Detector, sinks: Strea
     spark = scored.sparkSession
     notices = notify.notice_records(scored).withColumn("timestamp", clock_text(F.col("window_start_us")))
     keys = notices.select("source_ip", "window_id", "window_start_us")
-    prev = _previous_state(spark, sinks.throttle_state, batch_id, None)
+    prev = _previous_state(spark, sinks.throttle_state, batch_id, "source_ip string, last_kept_us bigint")
     if prev is not None:
         seed = prev.select("source_ip", F.lit(-1).cast("bigint").alias("window_id"),
                            F.col("last_kept_us").alias("window_start_us"))
@@ -208,3 +232,36 @@ def start_detection_stream(spark: SparkSession, source: DataFrame, out_root: str
          .foreachBatch(lambda df, bid: process_batch(df, bid, det, sinks)))
     w = w.trigger(**(trigger or {"processingTime": f"{det.th.window_us // 1_000_000} seconds"}))
     return w.start()
+
+
+def stage_replay_files(raw: DataFrame, path: str, chunks: int = 8) -> int:
+    """A9 helper: write packets as ``chunks`` time-ordered files (one per time
+    slice, appended in order) plus a far-future flush packet, so a file
+    stream with ``maxFilesPerTrigger=1`` replays them like a live capture.
+    Returns the batch anchor (first usable packet time) for ``origin_us``."""
+    from flowwatch.operators.flows import window_origin
+    spark = raw.sparkSession
+    raw = raw.select(*[F.col(c).cast("string").alias(c) if c not in ("frame_no", "ts_us") else F.col(c)
+                       for c in RAW_ORDER])
+    t0 = spark.range(1).select(window_origin(clean_packets(raw))).first()[0]
+    lo, hi = raw.agg(F.min("ts_us"), F.max("ts_us")).first()
+    cuts = [lo + (hi - lo) * i // chunks for i in range(chunks + 1)]
+    cuts[-1] = hi + 1
+    for a, b in zip(cuts, cuts[1:]):
+        raw.filter((F.col("ts_us") >= a) & (F.col("ts_us") < b)).coalesce(1).write.mode("append").parquet(path)
+    flush = spark.createDataFrame([(0, hi + 3_600_000_000)], "frame_no long, ts_us long")
+    for c in RAW_ORDER[2:]:
+        flush = flush.withColumn(c, F.lit(None).cast("string"))
+    flush.write.mode("append").parquet(path)
+    return t0
+
+
+def batch_durations_ms(query) -> list[int]:
+    """Trigger execution time of every recorded micro-batch (ms)."""
+    out = []
+    for p in query.recentProgress:
+        d = p.get("durationMs", {}) if isinstance(p, dict) else p.durationMs
+        v = d.get("triggerExecution") if isinstance(d, dict) else None
+        if v is not None:
+            out.append(int(v))
+    return out
