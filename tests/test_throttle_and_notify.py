@@ -33,6 +33,20 @@ def test_throttle_matches_sequential_fold(spark, seed):
     assert got == _fold(rows, 3600)
 
 
+@pytest.mark.parametrize("fine", [1, 7, 60, 3600])
+def test_successor_levels_agree(spark, fine):
+    from flowwatch.operators.throttle import successor
+    rnd = random.Random(fine)
+    rows = [(rnd.randrange(3), i, rnd.randrange(0, 30_000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, i long, t long")
+    got = {(r.k, r.i): r.nxt for r in successor(df, ["k"], "t", "i", 3600, fine_per_period=fine).collect()}
+    want = {}
+    for k, i, t in rows:
+        later = sorted((t2, i2) for k2, i2, t2 in rows if k2 == k and t2 >= t + 3600)
+        want[(k, i)] = later[0][1] if later else None
+    assert got == want
+
+
 def test_throttle_single_event_and_ties(spark):
     rows = [(0, 1, 5), (0, 2, 5), (0, 3, 3605), (0, 4, 3605), (1, 9, 0)]
     df = spark.createDataFrame(rows, "k long, i long, t long")
