@@ -175,7 +175,7 @@ def fit_forest(labelled: DataFrame, scaler: dict, num_trees: int = 100, max_dept
     train = apply_scaler(labelled, scaler).join(weights.select("label", "weight"), "label")
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                                 numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt",
-                                seed=seed)
+                                seed=seed, maxMemoryInMB=1024)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=SCALED, outputCol="features"), rf])
     return FlowModel(scaler, pipe.fit(train))
 

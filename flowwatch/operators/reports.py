@@ -14,7 +14,9 @@ from flowwatch import config as C
 from flowwatch.config import DEFAULT, Thresholds
 from flowwatch.functions import block_rule_name, round_half_away, severity_of
 
-NEWEST_FIRST = [F.col("window_id").desc(), F.col("source_ip").desc()]
+def newest_first():
+    """Alert id order, newest first (``id`` order == (window_id, source_ip))."""
+    return [F.col("window_id").desc(), F.col("source_ip").desc()]
 
 
 def latest_alerts(alerts: DataFrame, limit: int | None = C.LATEST_ALERTS) -> DataFrame:
@@ -31,7 +33,7 @@ def latest_alerts(alerts: DataFrame, limit: int | None = C.LATEST_ALERTS) -> Dat
         "threat_level",
         round_half_away(F.col("confidence") * 100, 1).alias("confidence_pct"),
     )
-    view = view.orderBy(*NEWEST_FIRST)
+    view = view.orderBy(*newest_first())
     return view.limit(limit) if limit is not None else view
 
 
@@ -46,7 +48,7 @@ def severity_filter(view: DataFrame, severities=tuple(C.SEVERITY_BUCKETS)) -> Da
 
 def alert_page(view: DataFrame, severities=tuple(C.SEVERITY_BUCKETS), size: int = C.ALERT_PAGE) -> DataFrame:
     """H2: first page of the filtered view, newest first."""
-    return severity_filter(view, severities).orderBy(*NEWEST_FIRST).limit(size)
+    return severity_filter(view, severities).orderBy(*newest_first()).limit(size)
 
 
 def soc_metrics(view: DataFrame, blocked: DataFrame) -> DataFrame:

@@ -181,21 +181,28 @@ SELECT window_id, src_ip, CAST(upper(coalesce("Label", 'nan')) <> 'BENIGN' AS in
 _MODELS: dict = {}
 
 
-def trained_model(s, sf):
+def _training(s, sf):
+    """Labelled flows materialised once (checkpoint), split, and the fitted forest."""
     key = (id(s), sf)
     if key not in _MODELS:
-        sp = _split(s, sf)
-        train = sp.filter("NOT is_test").drop("prediction", "is_test")
-        scaler = ml.fit_scaler(_labelled(s, sf))   # fitted before the split, as the original (Q15)
-        train = train.cache()                      # the forest makes several passes over its input
-        _MODELS[key] = ml.fit_forest(train, scaler)
+        lab = _labelled(s, sf).checkpoint(eager=True)
+        sp = ml.train_test_split(lab, KEYS)
+        train = sp.filter("NOT is_test").drop("prediction", "is_test").cache()
+        scaler = ml.fit_scaler(lab)                # fitted before the split, as the original (Q15)
+        model = ml.fit_forest(train, scaler)
         train.unpersist()
+        _MODELS[key] = (model, sp)
     return _MODELS[key]
 
 
+def trained_model(s, sf):
+    return _training(s, sf)[0]
+
+
 def _rf_predictions(s, sf):
-    test = _test(s, sf).drop("prediction")
-    return ml.predict(trained_model(s, sf), test).select("window_id", "src_ip", "label", "prediction")
+    model, sp = _training(s, sf)
+    test = sp.filter("is_test").drop("prediction", "is_test")
+    return ml.predict(model, test).select("window_id", "src_ip", "label", "prediction")
 
 
 register("rf_predictions")(_rf_predictions)
@@ -207,3 +214,25 @@ register("kmeans_clusters")(lambda s, sf: ml.fit_kmeans(flow_features(_pk(s, sf)
 register("alerts_ml")(lambda s, sf: to_alerts(detect(
     __import__("flowwatch.sources.packets", fromlist=["x"]).packets_from_events(s, sf),
     _detector(s, lists=True, model=trained_model(s, sf)))))
+
+
+
+def _bench_eval_rf(s, sf):
+    """G10 with the trained forest: aliased benchmark rows -> scale -> predict -> collapse."""
+    norm = E.normalize_benchmark(_benchmark_csv_frame(s, sf))
+    pred = ml.predict(trained_model(s, sf), norm)
+    return pred.select("window_id", "src_ip", E.binary_truth("Label").alias("truth"),
+                       (F.col("prediction") > 0).cast("int").alias("predicted"))
+
+
+register("benchmark_eval_rf")(_bench_eval_rf)
+
+
+def _rf_holdout(s, sf):
+    model, sp = _training(s, sf)
+    return ml.predict(model, sp.filter("is_test").drop("prediction", "is_test")), sp
+
+
+register("rf_spec_metrics")(lambda s, sf: E.spec_metrics(E.binary_confusion(_rf_holdout(s, sf)[0])))
+register("rf_classification_report")(
+    lambda s, sf: (lambda p: E.classification_report(p[0], present=p[1]))(_rf_holdout(s, sf)))

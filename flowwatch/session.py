@@ -46,3 +46,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="flowwatch-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 128 << 20,
+                 min_partitions: int = 200) -> dict[str, str]:
+    """Shuffle / split sizing for a given input volume (apply on the cluster's
+    session builder).  Shuffle partitions are sized so each holds about
+    ``target_partition_bytes`` of the full input (the widest shuffle moves
+    projected packet columns, a fraction of the input); AQE coalesces small
+    ones and splits skewed ones at run time."""
+    parts = max(min_partitions, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
