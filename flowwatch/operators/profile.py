@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Raw flag fields (the export names them tcp.flags.syn/ack/fin/reset, all matching "flags").
+FLAG_FIELDS = ("syn", "ack", "fin", "rst")
+
+
 def flag_candidates(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if any(k in c.lower() for k in ("flags", "syn", "ack"))]
+    return [c for c in df.columns
+            if c in FLAG_FIELDS or any(k in c.lower() for k in ("flags", "syn", "ack"))]
 
 
 def column_profile(df: DataFrame, order: str = "frame_no", first_n: int = 20,

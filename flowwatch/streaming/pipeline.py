@@ -7,7 +7,7 @@
   window gate (blank sources included) is evaluated inside the batch;
 * flow features are derived from the same mergeable moments as in batch
   (gap moments from the window's sorted times, bounded by 2 s of one source);
-* rolling history (S2) reads the newest state snapshot with ``batch_id < N``,
+* rolling history (S2) reads the state snapshot of batch ``N - 1``,
   appends the batch's flows, and writes ``state/batch_id=N`` (last 14 rows per
   source) by partition overwrite: a retried batch reproduces the same output;
 * alerts, protocol counts and the notice outbox are idempotent partition
@@ -33,7 +33,7 @@ from flowwatch.operators.clean import clean_packets
 from flowwatch.operators.flows import _derive, idiv
 from flowwatch.operators.rolling import rolling_state
 from flowwatch.plans.pipeline import Detector, score_flows, to_alerts
-from flowwatch.sinks.writers import append_table
+from flowwatch.sinks.writers import append_table, write_protocol_breakdown
 from flowwatch.sources.packets import RAW_ORDER, _to_raw, csv_schema
 
 FLOW_KEYS = ["window_id", "src_ip"]
@@ -171,7 +171,7 @@ def process_batch(batch: DataFrame, batch_id: int, det: Detector, sinks: StreamS
               .agg(F.count(F.lit(1)).alias("packets"), F.sum("p.frame_len").alias("bytes")))
     jobs = [lambda: append_table(state, sinks.state, batch_id),
             lambda: append_table(to_alerts(scored), sinks.alerts, batch_id),
-            lambda: append_table(protos, sinks.protocols, batch_id)]
+            lambda: write_protocol_breakdown(protos, sinks.protocols, batch_id)]
     if sinks.notify_cfg is not None:
         jobs.append(lambda: _notices_batch(scored, batch_id, det, sinks))
     _write_all(jobs)

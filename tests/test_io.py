@@ -69,7 +69,7 @@ def test_model_roundtrip_and_fallback(spark, tmp):
 
 def test_column_profile(spark):
     prof = column_profile(packets_from_events(spark, SF001)).collect()
-    assert sorted(r.column for r in prof) == ["ack", "syn"]
+    assert sorted(r.column for r in prof) == ["ack", "fin", "rst", "syn"]
     syn = [r for r in prof if r.column == "syn"][0]
     assert len(syn.first_values) == 20 and 1 <= len(syn.distinct_values) <= 15
 
