@@ -104,8 +104,10 @@ def _partials(valid: DataFrame, keys: list[str], sub: Column, carry=()) -> DataF
     )
 
 
-def _merge(parts: DataFrame, keys: list[str], order: str, carry=()) -> DataFrame:
-    """Merge partials of consecutive buckets; adds the gap between buckets."""
+def _merge(parts: DataFrame, keys: list[str], order: str, carry=(), extra=()) -> DataFrame:
+    """Merge partials of consecutive buckets; adds the gap between buckets.
+
+    ``extra``: further aggregate expressions computed in the same ``groupBy``."""
     w = Window.partitionBy(*keys).orderBy(order)
     g = (F.col("lo") - F.lag("hi").over(w)).cast(_DEC)
     parts = parts.withColumn("_g2", g * g)
@@ -124,6 +126,7 @@ def _merge(parts: DataFrame, keys: list[str], order: str, carry=()) -> DataFrame
         (F.sum(F.col("s2").cast(_DEC)) + F.coalesce(F.sum("_g2"), F.lit(0).cast(_DEC))).alias("s2"),
         F.sum("dns_packets").alias("dns_packets"),
         *[F.min(c).alias(c) for c in carry],
+        *extra,
     )
 
 

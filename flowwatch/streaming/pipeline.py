@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from flowwatch.config import DEFAULT, Thresholds
 from flowwatch.functions import is_blank
 from flowwatch.operators.clean import clean_packets
-from flowwatch.operators.flows import _derive, idiv
+from flowwatch.operators.flows import _derive, _merge, idiv
 from flowwatch.operators.rolling import rolling_state
 from flowwatch.plans.pipeline import Detector, score_flows, to_alerts
 from flowwatch.sinks.writers import append_table, write_protocol_breakdown
@@ -59,14 +59,20 @@ def packet_stream(spark: SparkSession, path: str, fmt: str = "parquet",
     return r.schema(raw_schema_typed()).parquet(path)
 
 
+STREAM_SUB_US = 100_000      # 100 ms: 20 state entries per (window, source) at most
+
+
 def window_aggregates(raw: DataFrame, th: Thresholds = DEFAULT, watermark: str = "4 seconds",
-                      origin_us: int = 0) -> DataFrame:
-    """Streaming (window, source) partial aggregates; blank sources kept for the gate."""
+                      origin_us: int = 0, sub_us: int = STREAM_SUB_US) -> DataFrame:
+    """Streaming (window, source, sub-bucket) partials; blank sources kept for
+    the gate.  The per-group time list is bounded by ``sub_us`` of one source,
+    so a flooding source does not build one huge state entry per window."""
     clean = clean_packets(raw).filter(F.col("ts_us") > 0)
-    ev = clean.withColumn("event_time", F.timestamp_micros("ts_us"))
+    ev = (clean.withColumn("event_time", F.timestamp_micros("ts_us"))
+          .withColumn("_sub", idiv(F.col("ts_us"), sub_us)))
     offset = origin_us % th.window_us
     win = F.window("event_time", f"{th.window_us} microseconds", startTime=f"{offset} microseconds")
-    agg = ev.withWatermark("event_time", watermark).groupBy(win.alias("w"), "src_ip").agg(
+    agg = ev.withWatermark("event_time", watermark).groupBy(win.alias("w"), "src_ip", "_sub").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("frame_len").alias("sx"),
         F.sum(F.col("frame_len") * F.col("frame_len")).alias("sxx"),
@@ -148,11 +154,11 @@ def process_batch(batch: DataFrame, batch_id: int, det: Detector, sinks: StreamS
     gate = (batch.groupBy("window_id").agg(F.sum("n").alias("_wp"))
             .filter(F.col("_wp") >= th.min_window_packets).select("window_id"))
     rows = batch.join(gate, "window_id")
-    valid = rows.filter(~is_blank("src_ip"))
-    m = valid.select(*FLOW_KEYS, "window_start_us", "n", "sx", "sxx", "syn", "ack", "fin", "rst", "ttl", "win",
-                     "lo", "hi", "dns_packets", _gap_moment(F.col("_times")).alias("s2"),
-                     F.size("_ips").cast("bigint").alias("unique_target_ips"),
-                     F.size("_ports").cast("bigint").alias("unique_target_ports"))
+    valid = rows.filter(~is_blank("src_ip")).withColumn("s2", _gap_moment(F.col("_times")))
+    # merge sub-buckets into (window, source): boundary gaps + union of target sets
+    sets = [F.size(F.array_distinct(F.flatten(F.collect_list("_ips")))).cast("bigint").alias("unique_target_ips"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("_ports")))).cast("bigint").alias("unique_target_ports")]
+    m = _merge(valid, FLOW_KEYS, "_sub", ["window_start_us"], extra=sets)
     flows = _derive(m, FLOW_KEYS, th, ["window_start_us"])
     # Keyed bounded history across batches
     prev = _previous_state(spark, sinks.state, batch_id, flows.schema)
@@ -223,11 +229,12 @@ def late_rows(query) -> int:
 
 def start_detection_stream(spark: SparkSession, source: DataFrame, out_root: str, checkpoint: str,
                            det: Detector | None = None, watermark: str = "4 seconds", origin_us: int = 0,
-                           trigger: dict | None = None, notify_cfg: dict | None = None):
+                           trigger: dict | None = None, notify_cfg: dict | None = None,
+                           sub_us: int = STREAM_SUB_US):
     """Start the continuous pipeline; returns the ``StreamingQuery``."""
     det = det or Detector()
     sinks = StreamSinks(out_root, notify_cfg)
-    agg = window_aggregates(source, det.th, watermark, origin_us)
+    agg = window_aggregates(source, det.th, watermark, origin_us, sub_us)
     w = (agg.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: process_batch(df, bid, det, sinks)))
     w = w.trigger(**(trigger or {"processingTime": f"{det.th.window_us // 1_000_000} seconds"}))
