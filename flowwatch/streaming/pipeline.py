@@ -241,11 +241,17 @@ def start_detection_stream(spark: SparkSession, source: DataFrame, out_root: str
     return w.start()
 
 
-def stage_replay_files(raw: DataFrame, path: str, chunks: int = 8) -> int:
+def stage_replay_files(raw: DataFrame, path: str, chunks: int = 8, spacing_s: float = 0.0,
+                       late_packet: bool = False) -> int:
     """A9 helper: write packets as ``chunks`` time-ordered files (one per time
     slice, appended in order) plus a far-future flush packet, so a file
     stream with ``maxFilesPerTrigger=1`` replays them like a live capture.
-    Returns the batch anchor (first usable packet time) for ``origin_us``."""
+    Returns the batch anchor (first usable packet time) for ``origin_us``.
+
+    The file source orders files by modification time; ``spacing_s`` keeps
+    the times distinct on file systems with coarse timestamps.
+    ``late_packet`` appends one packet far behind the watermark (S4 check)."""
+    import time
     from flowwatch.operators.flows import window_origin
     spark = raw.sparkSession
     raw = raw.select(*[F.col(c).cast("string").alias(c) if c not in ("frame_no", "ts_us") else F.col(c)
@@ -256,10 +262,15 @@ def stage_replay_files(raw: DataFrame, path: str, chunks: int = 8) -> int:
     cuts[-1] = hi + 1
     for a, b in zip(cuts, cuts[1:]):
         raw.filter((F.col("ts_us") >= a) & (F.col("ts_us") < b)).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(spacing_s)
     flush = spark.createDataFrame([(0, hi + 3_600_000_000)], "frame_no long, ts_us long")
     for c in RAW_ORDER[2:]:
         flush = flush.withColumn(c, F.lit(None).cast("string"))
     flush.write.mode("append").parquet(path)
+    if late_packet:
+        time.sleep(spacing_s)
+        flush.withColumn("ts_us", F.lit(lo)).withColumn("src_ip", F.lit("10.9.9.9")) \
+            .write.mode("append").parquet(path)
     return t0
 
 

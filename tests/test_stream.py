@@ -1,15 +1,13 @@
-"""Structured Streaming run equals the batch run."""
+"""Structured Streaming run equals the batch run."""
 
 import os
 
 from pyspark.sql import functions as F
 
-from flowwatch.operators.clean import clean_packets
-from flowwatch.operators.flows import window_origin
 from flowwatch.operators import notify
 from flowwatch.plans.pipeline import Detector, alerts, detect
 from flowwatch.sources.packets import RAW_ORDER, packets_from_events
-from flowwatch.streaming.pipeline import late_rows, packet_stream, start_detection_stream
+from flowwatch.streaming.pipeline import late_rows, packet_stream, stage_replay_files, start_detection_stream
 
 from conftest import SF001
 
@@ -17,19 +15,9 @@ from conftest import SF001
 def test_stream_equals_batch(spark, tmp):
     raw = packets_from_events(spark, SF001).select(
         *[F.col(c).cast("string").alias(c) if c not in ("frame_no", "ts_us") else F.col(c) for c in RAW_ORDER])
-    t0 = spark.range(1).select(window_origin(clean_packets(raw))).first()[0]
-    lo, hi = raw.agg(F.min("ts_us"), F.max("ts_us")).first()
     inp = os.path.join(tmp, "in")
-    cuts = [lo + (hi - lo) * i // 4 for i in range(5)]
-    cuts[-1] = hi + 1
-    for a, b in zip(cuts, cuts[1:]):                       # time-ordered files
-        raw.filter((F.col("ts_us") >= a) & (F.col("ts_us") < b)).coalesce(1).write.mode("append").parquet(inp)
-    flush = spark.createDataFrame([(0, hi + 3_600_000_000)], "frame_no long, ts_us long")
-    for c in RAW_ORDER[2:]:
-        flush = flush.withColumn(c, F.lit(None).cast("string"))
-    flush.write.mode("append").parquet(inp)               # closes the last windows
-    late = flush.withColumn("ts_us", F.lit(lo)).withColumn("src_ip", F.lit("10.9.9.9"))
-    late.write.mode("append").parquet(inp)                # far behind the watermark: dropped
+    # time-ordered files, a far-future flush packet, then one packet far behind the watermark
+    t0 = stage_replay_files(raw, inp, chunks=4, spacing_s=1.1, late_packet=True)
     out = os.path.join(tmp, "out")
     intel = spark.createDataFrame([("10.0.0.9",)], "ip string")
     det = Detector(intel=intel)
@@ -38,6 +26,7 @@ def test_stream_equals_batch(spark, tmp):
                                os.path.join(tmp, "ckpt"), det=det, origin_us=t0, trigger={"availableNow": True},
                                notify_cfg=cfg)
     q.awaitTermination(600)
+    assert q.exception() is None
     assert late_rows(q) >= 1
     got = spark.read.parquet(os.path.join(out, "alerts")).drop("batch_id")
     want = alerts(raw, det)
