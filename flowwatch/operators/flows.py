@@ -77,7 +77,7 @@ def apply_gate(agg: DataFrame, pk: DataFrame, th: Thresholds = DEFAULT) -> DataF
 # Mergeable partial aggregates
 # ---------------------------------------------------------------------------
 
-def _partials(valid: DataFrame, keys: list[str], sub: Column, carry=()) -> DataFrame:
+def _partials(valid: DataFrame, keys: list[str], sub: Column, carry=(), extra=()) -> DataFrame:
     """Level 1: per (keys, sub-bucket) partial aggregates incl. in-bucket gaps.
 
     ``carry``: columns constant per key (e.g. ``window_start_us``) kept via ``min``.
@@ -101,6 +101,7 @@ def _partials(valid: DataFrame, keys: list[str], sub: Column, carry=()) -> DataF
         F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0)).alias("s2"),
         F.count_if(F.col("protocol") == "DNS").alias("dns_packets"),
         *[F.min(c).alias(c) for c in carry],
+        *extra,
     )
 
 
@@ -181,19 +182,25 @@ def _derive(m: DataFrame, keys: list[str], th: Thresholds, carry=()) -> DataFram
 def flow_features(pk: DataFrame, th: Thresholds = DEFAULT, sub_us: int = SUB_US) -> DataFrame:
     """Per (window_id, src_ip) features of gated windows.
 
-    ``pk`` is the output of :func:`assign_windows`.  Partials are built over
-    all packets (blank sources included), and the window gate is a window
-    sum over the merged (window, source) rows -- one pass over the packets
-    feeds both the features and the gate, and the gate's exchange moves
-    aggregated rows only.  Blank sources are dropped after the gate.
+    ``pk`` is the output of :func:`assign_windows`.  One pass over the packets:
+
+    * partials per (window, source, 10 ms sub-bucket) over all packets (blank
+      sources included), merged per (window, source);
+    * destination sets travel with the partials (``collect_set`` per
+      sub-bucket, union on merge) -- bounded by the distinct targets of one
+      source in one 2 s window -- instead of a second distinct-count pass;
+    * the window gate is a window sum over the merged rows, so its exchange
+      moves aggregated rows only; blank sources are dropped after the gate.
     """
     sub = idiv(F.col("ts_us"), sub_us)
     carry = ["window_start_us"] if "window_start_us" in pk.columns else []
-    merged = _merge(_partials(pk, FLOW_KEYS, sub, carry), FLOW_KEYS, "_sub", carry)
+    sets = [F.collect_set("dst_ip").alias("_ips"), F.collect_set("dst_port").alias("_ports")]
+    union = [F.size(F.array_distinct(F.flatten(F.collect_list("_ips")))).cast("bigint").alias("unique_target_ips"),
+             F.size(F.array_distinct(F.flatten(F.collect_list("_ports")))).cast("bigint").alias("unique_target_ports")]
+    merged = _merge(_partials(pk, FLOW_KEYS, sub, carry, sets), FLOW_KEYS, "_sub", carry, union)
     window_packets = F.sum("n").over(Window.partitionBy("window_id"))
     flows = (merged.withColumn("_wp", window_packets)
              .filter((F.col("_wp") >= th.min_window_packets) & ~is_blank("src_ip")).drop("_wp"))
-    flows = flows.join(_distinct_targets(valid_sources(pk), FLOW_KEYS), FLOW_KEYS)
     return _derive(flows, FLOW_KEYS, th, carry)
 
 

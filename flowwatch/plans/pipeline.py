@@ -51,8 +51,18 @@ def window_starts(pk: DataFrame) -> DataFrame:
     return pk.groupBy("window_id").agg(F.min("window_start_us").alias("window_start_us"))
 
 
-def flows_with_history(pk: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
-    return rolling_state(flow_features(pk, th), th)
+def flows_with_history(pk: DataFrame, th: Thresholds = DEFAULT, materialize: bool = True) -> DataFrame:
+    """Flow features + rolling history.
+
+    The blocked history reads the flows twice (rows and block tails); with
+    different pruned columns the two reads cannot share an exchange, so the
+    flow table (one row per window and source, far smaller than the packets)
+    is checkpointed once to the shared checkpoint folder and both read it.
+    """
+    flows = flow_features(pk, th)
+    if materialize:
+        flows = flows.checkpoint(eager=True)
+    return rolling_state(flows, th)
 
 
 def _model_layer(flows: DataFrame, det: Detector) -> DataFrame:
