@@ -47,10 +47,6 @@ def windowed_packets(raw: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     return assign_windows(clean_packets(raw), th)
 
 
-def window_starts(pk: DataFrame) -> DataFrame:
-    return pk.groupBy("window_id").agg(F.min("window_start_us").alias("window_start_us"))
-
-
 def flows_with_history(pk: DataFrame, th: Thresholds = DEFAULT, materialize: bool = True) -> DataFrame:
     """Flow features + rolling history.
 
