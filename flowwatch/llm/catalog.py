@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowwatch.llm import linededup, mixing
-from flowwatch.llm.common import table
+from flowwatch.llm import linededup, mixing, sharding, simhash, token_store
+from flowwatch.llm.common import table, vocabulary
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +31,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op2_sharding, op4_token_store, op5_simhash, op6_line_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import flowwatch
 from flowwatch.session import ensure_checkpoint_dir
 
+# functions that run in tasks travel with the task: executors need no copy of this package
+cloudpickle.register_pickle_by_value(flowwatch)
+
 #: ASCII white space: \x20 and \x09-\x0D
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,13 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, as every executor has it installed."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, everything else left alone."""
     return F.translate(c, UPPER, LOWER)
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of Python functions that read whole texts."""
+def python_tasks(spark: SparkSession) -> None:
+    """Prepares the session for Python functions over whole texts: Arrow batches are short."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
