@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowwatch.llm import linededup, mixing, sharding, simhash, token_store
+from flowwatch.llm import licenses, linededup, mixing, sentencepieces, sharding, simhash, token_store
 from flowwatch.llm.common import table, vocabulary
 
 
@@ -26,13 +26,21 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_token_store, op5_simhash, op6_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op2_sharding, op4_token_store, op5_simhash, op6_line_dedup, op8_sentencepiece, op9_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": linededup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op6_line_dedup": linededup.ORACLE_SQL, "op9_licenses": licenses.oracle_sql(), "op10_mixing": mixing.ORACLE_SQL}
