@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowwatch.llm import licenses, linededup, mixing, sentencepieces, sharding, simhash, token_store
+from flowwatch.llm import licenses, linededup, mixing, sentencepieces, sharding, simhash, token_store, toxicity
 from flowwatch.llm.common import table, vocabulary
 
 
@@ -26,6 +26,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -39,7 +43,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_token_store, op5_simhash, op6_line_dedup, op8_sentencepiece, op9_licenses, op10_mixing)}
+    return {f.__name__: f for f in (op2_sharding, op4_token_store, op5_simhash, op6_line_dedup, op7_toxicity, op8_sentencepiece, op9_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
