@@ -3,9 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; its result is written as Parquet and read again as the next one's docs.
 All but the last return the columns of ``documents``; the last returns each
-document's token ids.  The stages hold in one piece each, so a lost executor
-costs the tasks it ran, and a stopped run can go on from the last written
-stage.
+document's token ids.  What a stage has written stays written: a lost executor
+costs no earlier stage.
 """
 
 from __future__ import annotations

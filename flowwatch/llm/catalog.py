@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowwatch.llm import licenses, linededup, mixing, sentencepieces, sharding, simhash, token_store, toxicity
+from flowwatch.llm import ann_forest, cover_tree, licenses, linededup, mixing, sentencepieces, sharding, simhash, token_store, toxicity
 from flowwatch.llm.common import table, vocabulary
 
 
+def op1_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -43,8 +51,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_token_store, op5_simhash, op6_line_dedup, op7_toxicity, op8_sentencepiece, op9_licenses, op10_mixing)}
+    return {f.__name__: f for f in (op1_hash_forest, op2_sharding, op3_cover_tree, op4_token_store, op5_simhash, op6_line_dedup, op7_toxicity, op8_sentencepiece, op9_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": linededup.ORACLE_SQL, "op9_licenses": licenses.oracle_sql(), "op10_mixing": mixing.ORACLE_SQL}
+    return {"op3_cover_tree": cover_tree.ORACLE_SQL, "op6_line_dedup": linededup.ORACLE_SQL, "op9_licenses": licenses.oracle_sql(), "op10_mixing": mixing.ORACLE_SQL}
