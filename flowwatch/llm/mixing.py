@@ -7,7 +7,8 @@ times.  The whole part of that is certain.  The rest f is an inclusion
 probability: documents are ranked by random odds over inclusion odds,
 [u / (1 - u)] / [f / (1 - f)], and the first ones are taken until the words
 that the source still lacks are reached (the sample's fixed size is in words).
-The last place goes to the document whose size is nearest to what remains.
+The last place goes to the document whose size is nearest to what remains, or
+the next in rank takes the place of one that brings the words nearer still.
 """
 
 from __future__ import annotations
@@ -88,9 +89,10 @@ class _Wish:
         self.b = F.least(F.lit(RANK_BUCKETS - 1), F.floor(self.q / (1 + self.q) * RANK_BUCKETS)).cast("int")
         self.key = F.struct(self.q.alias("q"), doc_id.alias("doc_id"), size.alias("size"), text_key.alias("text_key"))
 
-    def copies(self, edge: Column, cut: Column, extra: Column) -> Column:
+    def copies(self, edge: Column, cut: Column, extra: Column, drop: Column) -> Column:
         more = (self.b < edge) | ((self.b == edge) & (self.key <= cut)) | self.key.eqNullSafe(extra)
-        return (self.whole + F.when(self.q.isNotNull() & F.coalesce(more, F.lit(False)), 1).otherwise(0)).cast("int")
+        more = F.coalesce(more, F.lit(False)) & ~self.key.eqNullSafe(drop)
+        return (self.whole + F.when(self.q.isNotNull() & more, 1).otherwise(0)).cast("int")
 
 
 def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -100,11 +102,11 @@ def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix_plan(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES) -> DataFrame:
-    """Per source what decides each of its documents: (source, source_size, target, scale, cut, extra).
+    """Per source what decides each of its documents: (source, source_size, target, scale, edge, cut, extra, drop).
 
-    ``rows(source, doc_id, size, text_key, appetite, u)``.  ``cut`` and ``extra``
-    are (q, doc_id, size, text_key): documents up to the cut, and the one equal
-    to ``extra``, get a copy more.  The cut is found from a histogram of the
+    ``rows(source, doc_id, size, text_key, appetite)``.  ``cut``, ``extra`` and
+    ``drop`` are (q, doc_id, size, text_key): documents up to the cut and the one equal
+    to ``extra``, but not the one equal to ``drop``, get a copy more.  The cut is found from a histogram of the
     rank with a fixed number of buckets per source; only the documents of one
     bucket are put in order, so no source is ever sorted in one task.
     """
@@ -138,16 +140,22 @@ def mix_plan(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies:
         F.first("edge").alias("edge"), F.first("need").alias("need"),
         F.coalesce(F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))), F.first("below")).alias("got"))
     cuts = stored(cuts.withColumn("lack", F.col("need") - F.col("got")).withColumnRenamed("source", "_s"), "cuts")
-    c = r.filter("b is not null").join(cuts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    beyond = (F.col("b") > F.col("edge")) | ((F.col("b") == F.col("edge")) & (F.col("cut").isNull() | (key > F.col("cut"))))
+    inside = (F.col("b") < F.col("edge")) | ((F.col("b") == F.col("edge")) & F.coalesce(key <= F.col("cut"), F.lit(False)))
+    c = r.filter("b is not null").join(cuts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("inside", inside)
+    # the last place: one document more, or the next one for one that is in already, whichever ends nearer
     off = F.abs(F.col("lack") - F.col("size"))
-    extra = c.filter(beyond & (off < F.col("lack"))).groupBy(F.col("source").alias("_x")).agg(
-        F.min(F.struct(off.alias("off"), key.alias("key"))).getField("key").alias("extra"))
-    # a cut that takes nothing of its bucket still takes the buckets below it
-    cuts = cuts.select("_s", "edge", "cut")
-    out = plan.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    out = out.join(extra, F.col("source").eqNullSafe(F.col("_x")), "left").drop("_x")
-    return stored(out, "mix")
+    add = c.filter("not inside").groupBy(F.col("source").alias("_x")).agg(
+        F.min(F.when(off < F.col("lack"), F.struct(off.alias("off"), key.alias("key")))).alias("one"), F.min(key).alias("next"))
+    last = stored(cuts.select("_s", "edge", "cut", "lack").join(add, F.col("_s").eqNullSafe(F.col("_x")), "left").drop("_x")
+                  .withColumn("over", F.col("next.size") - F.col("lack"))
+                  .withColumn("off", F.coalesce("one.off", "lack")), "last")
+    beside = last.select(F.col("_s").alias("_x"), "over", F.col("off").alias("_off"))
+    gone = F.abs(F.col("over") - F.col("size"))
+    swap = c.filter("inside").join(beside, F.col("source").eqNullSafe(F.col("_x"))).filter(gone < F.col("_off")).groupBy("_x").agg(
+        F.min(F.struct(gone.alias("off"), key.alias("key"))).getField("key").alias("drop"))
+    last = last.join(swap, F.col("_s").eqNullSafe(F.col("_x")), "left").select(
+        "_s", "edge", "cut", F.when(F.col("drop").isNull(), F.col("one.key")).otherwise(F.col("next")).alias("extra"), "drop")
+    return stored(plan.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix")
 
 
 def _text_key() -> Column:
@@ -161,7 +169,7 @@ def _rows(docs: DataFrame, appetite=default_appetite) -> DataFrame:
 
 def _copies(size: Column, text_key: Column, appetite: Column, max_copies: int) -> Column:
     wish = _Wish(F.col("doc_id"), size, text_key, appetite, F.col("_llm_plan.scale"), max_copies)
-    return wish.copies(*(F.col(f"_llm_plan.{k}") for k in ("edge", "cut", "extra")))
+    return wish.copies(*(F.col(f"_llm_plan.{k}") for k in ("edge", "cut", "extra", "drop")))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES,
@@ -222,11 +230,17 @@ z as (select *, case when f > 0 and size > 0 then u * (1 - f) / ((1 - u) * f) en
 c as (select *, case when q is not null then sum(size) over (partition by source, q is null order by q, doc_id) end as upto from z),
 d as (select *, coalesce(q is not null and upto <= need, false) as inside from c),
 g as (select *, need - coalesce(max(upto) filter (where inside) over (partition by source), 0) as lack from d),
-h as (select *, row_number() over (partition by source order by
-        case when q is not null and not inside and abs(lack - size) < lack then 0 else 1 end, abs(lack - size), q, doc_id) = 1
-        and q is not null and not inside and abs(lack - size) < lack as extra from g)
+h0 as (select *, q is not null and not inside as out,
+        min(case when q is not null and not inside and abs(lack - size) < lack then abs(lack - size) end) over (partition by source) as off_one,
+        min(case when q is not null and not inside then row(q, doc_id, size) end) over (partition by source) as nxt from g),
+h1 as (select *, coalesce(off_one, lack) as off, abs(nxt[3] - lack - size) as gap from h0),
+h2 as (select *, min(case when inside and gap < off then row(gap, q, doc_id) end) over (partition by source) as swap,
+        min(case when out and abs(lack - size) = off_one then row(q, doc_id) end) over (partition by source) as one from h1),
+h as (select *, case when swap is null then out and one is not null and abs(lack - size) = off_one and q = one[1] and doc_id = one[2]
+             else out and q = nxt[1] and doc_id = nxt[2] end as extra,
+        coalesce(inside and q = swap[2] and doc_id = swap[3], false) as gone from h2),
+k9 as (select *, case when (inside and not gone) or coalesce(extra, false) then 1 else 0 end as more from h)
 select doc_id, source, size, source_size::bigint as source_size, target,
-  (whole + case when inside or extra then 1 else 0 end)::int as copies,
-  (whole::bigint + case when inside or extra then 1 else 0 end) * size as taken
-from h
+  (whole + more)::int as copies, (whole::bigint + more) * size as taken
+from k9
 """
