@@ -58,32 +58,36 @@ def binary_confusion(df: DataFrame, truth: str = "label", pred: str = "predictio
                   F.count_if(~t & p).alias("fp"), F.count_if(~t & ~p).alias("tn"))
 
 
-def spec_metrics(conf: DataFrame) -> DataFrame:
-    """D13 + C25: detection rate, FPR, precision, F1 with zero guards and marks.
+#: metric, the spec's bound, and whether the bound is the least or the most allowed
+SPEC = [("detection_rate", C.TARGET_DETECTION_RATE, "least"), ("false_positive_rate", C.TARGET_FALSE_POSITIVE, "most"),
+        ("precision", C.TARGET_PRECISION, "least"), ("f1", C.TARGET_F1, "least")]
+
+
+def _ratio(part: F.Column, whole: F.Column) -> F.Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+
+
+def within(metric: F.Column, bound: float, kind: str) -> F.Column:
+    """Mark of a metric against its bound (the bound itself is allowed)."""
+    kept = metric >= bound if kind == "least" else metric <= bound
+    return F.when(kept, "PASS").otherwise("FAIL")
 
-    Marks are inclusive (>= / <=), as in the original."""
+
+def spec_metrics(conf: DataFrame) -> DataFrame:
+    """D13 + C25: the spec's four metrics (0 where undefined), rounded, each with its mark."""
     tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
-    dr = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0))
-    fpr = F.when(fp + tn > 0, fp / (fp + tn)).otherwise(F.lit(0.0))
-    prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0))
-    m = conf.select("tp", "fn", "fp", "tn", dr.alias("dr"), fpr.alias("fpr"), prec.alias("prec"))
-    f1 = F.when(F.col("prec") + F.col("dr") > 0,
-                2 * F.col("prec") * F.col("dr") / (F.col("prec") + F.col("dr"))).otherwise(F.lit(0.0))
-    m = m.withColumn("f1", f1)
-
-    def mark(c, target, lower=False):
-        ok = (F.col(c) <= target) if lower else (F.col(c) >= target)
-        return F.when(ok, F.lit("PASS")).otherwise(F.lit("FAIL"))
-
-    return m.select(
-        "tp", "fn", "fp", "tn",
-        _r(F.col("dr")).alias("detection_rate"), _r(F.col("fpr")).alias("false_positive_rate"),
-        _r(F.col("prec")).alias("precision"), _r(F.col("f1")).alias("f1"),
-        mark("dr", C.TARGET_DETECTION_RATE).alias("detection_mark"),
-        mark("fpr", C.TARGET_FALSE_POSITIVE, True).alias("false_positive_mark"),
-        mark("prec", C.TARGET_PRECISION).alias("precision_mark"),
-        mark("f1", C.TARGET_F1).alias("f1_mark"),
-    )
+    rates = conf.select("tp", "fn", "fp", "tn", _ratio(tp, tp + fn).alias("detection_rate"),
+                        _ratio(fp, fp + tn).alias("false_positive_rate"), _ratio(tp, tp + fp).alias("precision"))
+    p, r = F.col("precision"), F.col("detection_rate")
+    rates = rates.withColumn("f1", _ratio(2 * p * r, p + r))
+    names = {"detection_rate": "detection_mark", "false_positive_rate": "false_positive_mark"}
+    return rates.select("tp", "fn", "fp", "tn", *[_r(F.col(m)).alias(m) for m, _, _ in SPEC],
+                        *[within(F.col(m), bound, kind).alias(names.get(m, f"{m}_mark")) for m, bound, kind in SPEC])
+
+
+def latency_mark(ms_per_decision: float) -> str:
+    """D15's mark against the spec's bound per decision."""
+    return "PASS" if ms_per_decision <= C.TARGET_LATENCY_MS else "FAIL"
 
 
 def classification_report(df: DataFrame, classes=(0, 1, 2), truth: str = "label", pred: str = "prediction",
@@ -91,7 +95,7 @@ def classification_report(df: DataFrame, classes=(0, 1, 2), truth: str = "label"
     """Per-class precision/recall/F1/support, accuracy, macro and weighted averages.
 
     Only classes that occur in ``present`` (default ``df``) get a row and count
-    in the macro average; presence is a one-row aggregate joined in the plan.
+    in the macro average; presence is a scalar subquery.
     """
     names = names or {}
     present = df if present is None else present
@@ -101,7 +105,7 @@ def classification_report(df: DataFrame, classes=(0, 1, 2), truth: str = "label"
         aggs += [F.count_if((F.col(truth) == c) & (F.col(pred) == c)).alias(f"tp{c}"),
                  F.count_if(F.col(pred) == c).alias(f"pp{c}"),
                  F.count_if(F.col(truth) == c).alias(f"s{c}")]
-    row = df.agg(*aggs).withColumn("_k", F.lit(1)).join(flags.withColumn("_k", F.lit(1)), "_k")
+    row = df.agg(*aggs).select("*", flags.select(F.struct("*")).scalar().alias("_flags"))
     per = []
     for c in classes:
         tp, pp, s = F.col(f"tp{c}"), F.col(f"pp{c}"), F.col(f"s{c}")
@@ -110,7 +114,7 @@ def classification_report(df: DataFrame, classes=(0, 1, 2), truth: str = "label"
         f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
         per.append(F.struct(F.lit(names.get(c, str(c))).alias("class"), p.alias("precision"),
                             r.alias("recall"), f.alias("f1_score"), s.alias("support"),
-                            F.col(f"in{c}").alias("present")))
+                            F.col(f"_flags.in{c}").alias("present")))
     cls = row.select("n", "correct", F.array(*per).alias("rows"))
     ps = [F.col("rows")[i] for i in range(len(classes))]
 

@@ -145,12 +145,12 @@ def _derive(m: DataFrame, keys: list[str], th: Thresholds, carry=()) -> DataFram
     span = F.col("hi") - F.col("lo")
     dur = F.greatest(span.cast("double") / 1e6, F.lit(th.min_duration_s))
     size_var_num = (n.cast(_DEC) * F.col("sxx") - F.col("sx").cast(_DEC) * F.col("sx").cast(_DEC))
-    size_std = F.when(n > 1, F.sqrt(size_var_num.cast("double") / (n * (n - 1)).cast("double"))) \
+    size_std = F.when(n > 1, F.sqrt(size_var_num.cast("double") / (n.cast("double") * (n - 1).cast("double")))) \
         .otherwise(F.lit(0.0))
     gaps = n - 1
     iat_var_num = gaps.cast(_DEC) * F.col("s2") - span.cast(_DEC) * span.cast(_DEC)
     iat_mean = F.when(n > 1, span.cast("double") / gaps / 1e6).otherwise(F.lit(0.0))
-    iat_std = F.when(n > 1, F.sqrt(iat_var_num.cast("double") / (gaps * gaps).cast("double")) / 1e6) \
+    iat_std = F.when(n > 1, F.sqrt(iat_var_num.cast("double") / (gaps.cast("double") * gaps.cast("double"))) / 1e6) \
         .otherwise(F.lit(0.0))
     return m.select(
         *keys,
@@ -182,25 +182,21 @@ def _derive(m: DataFrame, keys: list[str], th: Thresholds, carry=()) -> DataFram
 def flow_features(pk: DataFrame, th: Thresholds = DEFAULT, sub_us: int = SUB_US) -> DataFrame:
     """Per (window_id, src_ip) features of gated windows.
 
-    ``pk`` is the output of :func:`assign_windows`.  One pass over the packets:
+    ``pk`` is the output of :func:`assign_windows`.  Three aggregates, none of
+    which holds a source's or a window's rows together:
 
-    * partials per (window, source, 10 ms sub-bucket) over all packets (blank
-      sources included), merged per (window, source);
-    * destination sets travel with the partials (``collect_set`` per
-      sub-bucket, union on merge) -- bounded by the distinct targets of one
-      source in one 2 s window -- instead of a second distinct-count pass;
-    * the window gate is a window sum over the merged rows, so its exchange
-      moves aggregated rows only; blank sources are dropped after the gate.
+    * partials per (window, source, 10 ms sub-bucket) of packets with a source,
+      merged per (window, source);
+    * distinct targets in two levels, (window, source, value) and then counts,
+      so a scanner's targets are spread over all tasks and never one row;
+    * packets per window, blank sources included, for the gate: one row per
+      window, joined to the merged rows.
     """
     sub = idiv(F.col("ts_us"), sub_us)
     carry = ["window_start_us"] if "window_start_us" in pk.columns else []
-    sets = [F.collect_set("dst_ip").alias("_ips"), F.collect_set("dst_port").alias("_ports")]
-    union = [F.size(F.array_distinct(F.flatten(F.collect_list("_ips")))).cast("bigint").alias("unique_target_ips"),
-             F.size(F.array_distinct(F.flatten(F.collect_list("_ports")))).cast("bigint").alias("unique_target_ports")]
-    merged = _merge(_partials(pk, FLOW_KEYS, sub, carry, sets), FLOW_KEYS, "_sub", carry, union)
-    window_packets = F.sum("n").over(Window.partitionBy("window_id"))
-    flows = (merged.withColumn("_wp", window_packets)
-             .filter((F.col("_wp") >= th.min_window_packets) & ~is_blank("src_ip")).drop("_wp"))
+    valid = valid_sources(pk)
+    merged = _merge(_partials(valid, FLOW_KEYS, sub, carry), FLOW_KEYS, "_sub", carry)
+    flows = apply_gate(merged, pk, th).join(_distinct_targets(valid, FLOW_KEYS), FLOW_KEYS)
     return _derive(flows, FLOW_KEYS, th, carry)
 
 
@@ -242,13 +238,6 @@ def iat_stats(pk: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     return merged.select(
         *FLOW_KEYS,
         F.when(n > 1, span.cast("double") / gaps / 1e6).otherwise(F.lit(0.0)).alias("iat_mean"),
-        F.when(n > 1, F.sqrt(num.cast("double") / (gaps * gaps).cast("double")) / 1e6)
+        F.when(n > 1, F.sqrt(num.cast("double") / (gaps.cast("double") * gaps.cast("double"))) / 1e6)
         .otherwise(F.lit(0.0)).alias("iat_std"),
     )
-
-
-def total_windows(pk: DataFrame, th: Thresholds = DEFAULT) -> Column:
-    """``max(1, span div 2 s + 1)`` windows, empty ones included (scalar)."""
-    return pk.select(
-        F.greatest(F.lit(1), idiv(F.max("ts_us") - F.min("ts_us"), th.window_us) + 1)
-    ).scalar()

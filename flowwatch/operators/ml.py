@@ -65,14 +65,14 @@ def apply_scaler(df: DataFrame, scaler: dict) -> DataFrame:
 
 
 def scaled_features_exact(df: DataFrame) -> DataFrame:
-    """G3 as a single distributed plan (stats as a one-row aggregate joined back)."""
-    stats = df.agg(*[F.avg(scrub(c)).alias(f"m_{c}") for c in C.FEATURE_COLS],
-                   *[F.stddev_pop(scrub(c)).alias(f"s_{c}") for c in C.FEATURE_COLS])
-    j = df.withColumn("_k", F.lit(1)).join(stats.withColumn("_k", F.lit(1)), "_k")
+    """G3 as a single distributed plan (stats as one scalar subquery)."""
+    stats = df.agg(F.struct(*[F.avg(scrub(c)).alias(f"m_{c}") for c in C.FEATURE_COLS],
+                            *[F.stddev_pop(scrub(c)).alias(f"s_{c}") for c in C.FEATURE_COLS]).alias("stats")).scalar()
+    j = df.withColumn("_stats", stats)
     out = []
     for c in C.FEATURE_COLS:
-        s = F.col(f"s_{c}")
-        out.append(((scrub(c) - F.col(f"m_{c}")) / F.when(s == 0, F.lit(1.0)).otherwise(s)).alias(f"{c}_z"))
+        s = F.col(f"_stats.s_{c}")
+        out.append(((scrub(c) - F.col(f"_stats.m_{c}")) / F.when(s == 0, F.lit(1.0)).otherwise(s)).alias(f"{c}_z"))
     keep = [c for c in df.columns if c not in C.FEATURE_COLS]
     return j.select(*keep, *out)
 
@@ -135,9 +135,8 @@ def train_test_split(df: DataFrame, key_cols: list[str], label: str = "label",
 def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights ``n / (k * n_c)`` from the training split."""
     per = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    tot = per.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
-    return (per.withColumn("_j", F.lit(1)).join(tot.withColumn("_j", F.lit(1)), "_j")
-            .select(label, "n_c", (F.col("n") / (F.col("k") * F.col("n_c"))).alias("weight")))
+    n, k = per.agg(F.sum("n_c")).scalar(), per.agg(F.count(F.lit(1))).scalar()
+    return per.select(label, "n_c", (n / (k * F.col("n_c"))).alias("weight"))
 
 
 # ---------------------------------------------------------------------------
@@ -168,9 +167,11 @@ def _active():
     return SparkSession.getActiveSession()
 
 
-def fit_forest(labelled: DataFrame, scaler: dict, num_trees: int = 100, max_depth: int = 20,
+def fit_forest(labelled: DataFrame, scaler: dict, num_trees: int = 100, max_depth: int = 30,
                seed: int = 42) -> FlowModel:
-    """G5 + G6: weighted random forest on scaled features."""
+    """G5 + G6: weighted random forest on scaled features.
+
+    Depth 30 is the most that the library's trees take (the original sets no bound)."""
     weights = class_weights(labelled)
     train = apply_scaler(labelled, scaler).join(weights.select("label", "weight"), "label")
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
@@ -200,7 +201,8 @@ def fit_kmeans(flows: DataFrame, k: int = 3, restarts: int = 10, seed: int = 42)
     """K-means on scaled features, best of ``restarts`` seeds."""
     scaler = fit_scaler(flows)
     data = VectorAssembler(inputCols=SCALED, outputCol="features").transform(apply_scaler(flows, scaler))
-    data = data.select(*[c for c in data.columns if c not in SCALED]).cache()
+    # read by every restart and by the result: written once to the shared checkpoint folder
+    data = data.select(*[c for c in data.columns if c not in SCALED]).checkpoint()
     from concurrent.futures import ThreadPoolExecutor
 
     def fit(i):
@@ -212,6 +214,4 @@ def fit_kmeans(flows: DataFrame, k: int = 3, restarts: int = 10, seed: int = 42)
         fits = list(pool.map(fit, range(restarts)))
     best = min(fits, key=lambda f: (f[0], f[1]))
     best = (best[0], best[2])
-    clustered = best[1].transform(data).drop("features")
-    data.unpersist()
-    return best[1], clustered
+    return best[1], best[1].transform(data).drop("features")

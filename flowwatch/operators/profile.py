@@ -33,11 +33,8 @@ def column_profile(df: DataFrame, order: str = "frame_no", first_n: int = 20,
                 .agg(F.min(order).alias("o")).orderBy("o").limit(distinct_n)
                 .agg(F.sort_array(F.collect_list(F.struct("o", "v"))).alias("a"))
                 .select(F.transform("a", lambda x: F.coalesce(x["v"], F.lit("nan"))).alias("distinct_values")))
-        one = (total.withColumn("_k", F.lit(1))
-               .join(firsts.withColumn("_k", F.lit(1)), "_k")
-               .join(uniq.withColumn("_k", F.lit(1)), "_k").drop("_k")
-               .select(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"), "rows",
-                       "first_values", "distinct_values"))
+        one = total.select(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"), "rows",
+                           firsts.scalar().alias("first_values"), uniq.scalar().alias("distinct_values"))
         parts.append(one)
     out = parts[0]
     for p in parts[1:]:

@@ -19,9 +19,10 @@ def newest_first():
     return [F.col("window_id").desc(), F.col("source_ip").desc()]
 
 
-def latest_alerts(alerts: DataFrame, limit: int | None = C.LATEST_ALERTS) -> DataFrame:
-    """H1 + C17: newest alerts first, dashboard columns, confidence in percent."""
-    view = alerts.select(
+def alert_view(alerts: DataFrame) -> DataFrame:
+    """C17: all alerts in dashboard columns, confidence in percent.  Every total,
+    distribution and queue below reads this view; only the two pages limit."""
+    return alerts.select(
         "window_id",
         F.col("timestamp").alias("time"),
         "source_ip",
@@ -33,8 +34,11 @@ def latest_alerts(alerts: DataFrame, limit: int | None = C.LATEST_ALERTS) -> Dat
         "threat_level",
         round_half_away(F.col("confidence") * 100, 1).alias("confidence_pct"),
     )
-    view = view.orderBy(*newest_first())
-    return view.limit(limit) if limit is not None else view
+
+
+def latest_alerts(view: DataFrame, limit: int = C.LATEST_ALERTS) -> DataFrame:
+    """H1: the newest alerts of the view, newest first."""
+    return view.orderBy(*newest_first()).limit(limit)
 
 
 def with_severity(df: DataFrame) -> DataFrame:
@@ -63,8 +67,8 @@ def soc_metrics(view: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 def _one_row_pair(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Side-by-side of two single-row aggregates (joined on a constant key)."""
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """Side-by-side of two single-row aggregates (the second as scalar subqueries)."""
+    return a.select("*", *[b.select(c).scalar().alias(c) for c in b.columns])
 
 
 def threat_distribution(view: DataFrame) -> DataFrame:
@@ -154,15 +158,18 @@ def window_progress(spark: SparkSession, pk: DataFrame, alerts: DataFrame,
                     th: Thresholds = DEFAULT) -> DataFrame:
     """Per window id (empty windows included): packets, flows, severe, skipped.
 
-    The id range comes from one scalar (the window count), generated by
-    ``spark.range`` in parallel; the per-window facts are left-joined to it.
+    Ids come from the window count as a scalar subquery; ids, packets and flows
+    are stacked and summed in one aggregate, so nothing is joined and nothing
+    runs while the plan is built.
     """
-    n = total_window_count(pk, th).first()[0]
-    ids = spark.range(0, n).withColumnRenamed("id", "window_id")
-    packets = pk.groupBy("window_id").agg(F.count(F.lit(1)).alias("packets"))
-    flows = alerts.groupBy("window_id").agg(
-        F.count(F.lit(1)).alias("flows"),
-        F.count_if(F.col("threat_level") == C.SEVERE).alias("severe"))
-    out = ids.join(packets, "window_id", "left").join(flows, "window_id", "left")
-    out = out.na.fill(0, ["packets", "flows", "severe"])
+    n = total_window_count(pk, th).scalar()
+    zero = F.lit(0).cast("bigint")
+    ids = spark.range(1).select(F.explode(F.sequence(zero, n - 1)).alias("window_id"),
+                                zero.alias("packets"), zero.alias("flows"), zero.alias("severe"))
+    packets = pk.groupBy("window_id").agg(F.count(F.lit(1)).alias("packets")).select(
+        "window_id", "packets", zero.alias("flows"), zero.alias("severe"))
+    flows = alerts.select("window_id", zero.alias("packets"), F.lit(1).cast("bigint").alias("flows"),
+                          (F.col("threat_level") == C.SEVERE).cast("bigint").alias("severe"))
+    out = ids.unionByName(packets).unionByName(flows).groupBy("window_id").agg(
+        *[F.sum(c).alias(c) for c in ("packets", "flows", "severe")])
     return out.withColumn("skipped", F.col("packets") < th.min_window_packets)

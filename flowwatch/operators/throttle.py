@@ -95,7 +95,11 @@ def successor(events: DataFrame, keys: list[str], t: str, id_: str, period: int,
 
 
 def greedy_throttle(events: DataFrame, keys: list[str], t: str, id_: str, period: int) -> DataFrame:
-    """Rows of ``events`` kept by the throttle (``id_`` unique within ``keys``)."""
+    """Rows of ``events`` kept by the throttle (``id_`` unique within ``keys``).
+
+    The events are read once and checkpointed; the rounds and the final
+    selection read the checkpoint."""
+    events = _checkpoint(events)
     ev = events.select(*keys, t, id_)
     buckets = ev.select(*keys, idiv(F.col(t), period).alias("_b")).distinct()
     longest = buckets.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0

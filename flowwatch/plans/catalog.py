@@ -21,7 +21,7 @@ from flowwatch.operators.flows import (
 )
 from flowwatch.plans import oracle as O
 from flowwatch.plans.pipeline import Detector, detect, flows_with_history, to_alerts, windowed_packets
-from flowwatch.sources.packets import packets_from_events
+from flowwatch.sources.packets import packets_from_events, read_table
 
 # Parity fixtures (FIXTURES.md): list contents used by the list queries.
 INTEL_IPS = ["10.0.0.9", "10.0.0.10"]
@@ -276,3 +276,77 @@ def _profile(s, sf):
 
 
 register("column_profile")(_profile)
+
+
+# C11 and C17 on values that need them (flow features are never null or infinite)
+def _odd_values(s, sf):
+    return read_table(s, sf, "events").select("event_id", F.expr("""CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN double('NaN')
+        WHEN 2 THEN double('Infinity') WHEN 3 THEN double('-Infinity') ELSE value END""").alias("x"))
+
+
+def _scrub_values(s, sf):
+    from flowwatch.functions import scrub
+    return _odd_values(s, sf).select("event_id", scrub("x").alias("x"))
+
+
+register("scrub_values", """
+SELECT event_id, CASE WHEN event_id % 6 < 4 THEN 0.0 ELSE value END AS x FROM events""")(_scrub_values)
+
+
+def _confidence_pct(s, sf):
+    from flowwatch.operators.reports import alert_view
+    a = alerts_df(s, sf, lists=True)
+    c = F.pmod(F.col("window_id") * 37 + F.col("total_bytes"), F.lit(10001)) / 10000.0
+    return alert_view(a.withColumn("confidence", c)).select("window_id", "source_ip", "confidence_pct")
+
+
+register("confidence_pct", W(*ALERTS_LISTS) + """
+SELECT window_id, source_ip, floor((window_id * 37 + total_bytes) % 10001 / 10000.0 * 100 * 10.0 + 0.5) / 10.0 AS confidence_pct
+FROM alerts""")(_confidence_pct)
+
+
+def _protocol_drill_down(s, sf):
+    """A7 + D17: the protocol table written, read back for one source, summed."""
+    import os
+    import uuid
+
+    from flowwatch.operators.reports import protocol_mix
+    from flowwatch.session import ensure_checkpoint_dir
+    from flowwatch.sinks.writers import write_protocol_breakdown
+    from flowwatch.sources.tables import read_protocol_table
+    path = os.path.join(ensure_checkpoint_dir(s), f"protocols-{uuid.uuid4().hex}")
+    write_protocol_breakdown(protocol_breakdown(_pk(s, sf)), path, 0)
+    return protocol_mix(read_protocol_table(s, path, "10.0.0.3"), "10.0.0.3")
+
+
+register("protocol_drill_down", W(*CLEAN_CTES, O.WINDOWS) + f"""
+SELECT protocol, count(*) AS pkts FROM pk
+WHERE src_ip = '10.0.0.3' AND NOT {O.blank('protocol')} AND window_id IN (SELECT window_id FROM gate) GROUP BY protocol""")(
+    _protocol_drill_down)
+
+
+def _stored_tables(s, sf):
+    """Flows and alerts written and read back; an older alert log without confidence beside them."""
+    import os
+    import uuid
+
+    from flowwatch.session import ensure_checkpoint_dir
+    from flowwatch.sinks.writers import append_table, write_flow_features
+    from flowwatch.sources.tables import read_alert_log, read_flow_table
+    root = os.path.join(ensure_checkpoint_dir(s), f"tables-{uuid.uuid4().hex}")
+    write_flow_features(flow_features(_pk(s, sf)), os.path.join(root, "flows"))
+    flows = read_flow_table(s, os.path.join(root, "flows"))
+    a = alerts_df(s, sf, lists=True)
+    append_table(a.drop("confidence"), os.path.join(root, "alerts"), 0)
+    append_table(a.filter("threat_level <> 'Baseline (Safe)'"), os.path.join(root, "alerts"), 1)
+    log = read_alert_log(s, os.path.join(root, "alerts"))
+    return flows.groupBy("src_ip").agg(F.count(F.lit(1)).alias("flows"), F.sum("total_packets").cast("bigint").alias("packets")).join(
+        log.groupBy(F.col("source_ip").alias("src_ip")).agg(
+            F.count(F.lit(1)).alias("logged"), F.max("confidence").alias("confidence")), "src_ip")
+
+
+register("stored_tables", W(*ALERTS_LISTS) + """
+SELECT f.src_ip, flows, packets, logged, confidence FROM
+  (SELECT src_ip, count(*) AS flows, cast(sum(total_packets) AS bigint) AS packets FROM flows GROUP BY src_ip) f
+  JOIN (SELECT source_ip, count(*) + count(*) FILTER (WHERE threat_level <> 'Baseline (Safe)') AS logged,
+          0.0::double AS confidence FROM alerts GROUP BY source_ip) a ON f.src_ip = a.source_ip""")(_stored_tables)

@@ -99,24 +99,26 @@ register("spec_metrics", W(*ALERTS_PLAIN, LAB, _spec_sql(BIN)))(
 
 
 def _report(s, sf):
-    return E.classification_report(_test(s, sf), present=_labelled(s, sf))
+    sp = _split(s, sf)                 # all labelled flows with their part, materialised once
+    return E.classification_report(sp.filter("is_test"), present=sp)
 
 
-def _report_sql() -> str:
+def _report_sql(names={0: "0", 1: "1", 2: "2"}, present: str = "lab") -> str:
     per = []
-    for c in (0, 1, 2):
+    for c, name in names.items():
         per.append(f"""
-  SELECT '{c}' AS class, CASE WHEN pp{c} > 0 THEN tp{c} / pp{c} ELSE 0.0 END AS p,
+  SELECT '{name}' AS class, CASE WHEN pp{c} > 0 THEN tp{c} / pp{c} ELSE 0.0 END AS p,
     CASE WHEN s{c} > 0 THEN tp{c} / s{c} ELSE 0.0 END AS r, s{c} AS support, {c} AS o FROM agg""")
     cnt = ", ".join(f"count(*) FILTER (WHERE label = {c} AND prediction = {c}) AS tp{c}, "
                     f"count(*) FILTER (WHERE prediction = {c}) AS pp{c}, count(*) FILTER (WHERE label = {c}) AS s{c}"
-                    for c in (0, 1, 2))
+                    for c in names)
+
     def term(c, field, weighted=False):
         w = f" * support" if weighted else ""
         return f"coalesce((SELECT {field}{w} FROM pcf WHERE o = {c}), 0.0)"
 
     def tsum(field, weighted=False):
-        return "(" + " + ".join(term(c, field, weighted) for c in (0, 1, 2)) + ")"
+        return "(" + " + ".join(term(c, field, weighted) for c in names) + ")"
 
     fmt = dict(psum_p=tsum("p"), psum_r=tsum("r"), psum_f=tsum("f"),
                wsum_p=tsum("p", True), wsum_r=tsum("r", True), wsum_f=tsum("f", True))
@@ -124,7 +126,7 @@ def _report_sql() -> str:
 agg AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = prediction) AS correct, {cnt} FROM test),
 pc AS ({' UNION ALL '.join(per)}),
 pcf AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM pc
-        WHERE o IN (SELECT DISTINCT label FROM lab)),
+        WHERE o IN (SELECT DISTINCT label FROM {present})),
 g AS (SELECT * FROM pcf),
 cp AS (SELECT {fmt['psum_p']} AS sp, {fmt['psum_r']} AS sr, {fmt['psum_f']} AS sf, {fmt['wsum_p']} AS wp, {fmt['wsum_r']} AS wr, {fmt['wsum_f']} AS wf,
           (SELECT count(*) FROM pcf) AS k FROM (SELECT 1) one),
@@ -174,6 +176,24 @@ register("benchmark_eval", W(*ALERTS_PLAIN, LAB, BENCH) + f"""
 SELECT window_id, src_ip, CAST(upper(coalesce("Label", 'nan')) <> 'BENIGN' AS int) AS truth,
   CAST(({O.RULE_THREAT}) <> 'Baseline (Safe)' AS int) AS predicted FROM bench""")(_bench_eval)
 
+# the same rows' metrics with marks, and the two-class report
+BENCH_PAIR = f"""
+test AS (SELECT CAST(upper(coalesce("Label", 'nan')) <> 'BENIGN' AS int) AS label,
+  CAST(({O.RULE_THREAT}) <> 'Baseline (Safe)' AS int) AS prediction FROM bench)"""
+BENCH_NAMES = {0: "Benign", 1: "Attack"}
+
+
+def _bench_pair(s, sf):
+    return _bench_eval(s, sf).select(F.col("truth").alias("label"), F.col("predicted").alias("prediction"))
+
+
+register("benchmark_spec_metrics", W(*ALERTS_PLAIN, LAB.rsplit("test AS", 1)[0].rstrip().rstrip(","), BENCH, BENCH_PAIR, _spec_sql(BIN)))(
+    lambda s, sf: E.spec_metrics(E.binary_confusion(_bench_pair(s, sf))))
+
+register("benchmark_report", W(*ALERTS_PLAIN, LAB.rsplit("test AS", 1)[0].rstrip().rstrip(","), BENCH, BENCH_PAIR,
+                               _report_sql(BENCH_NAMES, "test")))(
+    lambda s, sf: E.classification_report(_bench_pair(s, sf), classes=(0, 1), names=BENCH_NAMES))
+
 # ---------------------------------------------------------------------------
 # model-dependent (rows-only checks)
 # ---------------------------------------------------------------------------
@@ -183,7 +203,7 @@ _MODELS: dict = {}
 
 def _training(s, sf):
     """Labelled flows materialised once (checkpoint), split, and the fitted forest."""
-    key = (id(s), sf)
+    key = (s.sparkContext.applicationId, sf)
     if key not in _MODELS:
         lab = _labelled(s, sf).checkpoint(eager=True)
         sp = ml.train_test_split(lab, KEYS)

@@ -17,73 +17,74 @@ from flowwatch.sources.packets import read_table
 
 SEV = ("(CASE WHEN threat_level LIKE '%Severe%' THEN 'Severe' "
        "WHEN threat_level LIKE '%Moderate%' THEN 'Moderate' ELSE 'Baseline' END)")
-LATEST = f"""
-latest AS (
+VIEW = f"""
+view AS (
   SELECT window_id, timestamp AS time, source_ip, packets_per_sec, avg_window_size AS avg_window,
     syn_ack_ratio, total_bytes, traffic_profile, threat_level,
     sign(confidence * 100 * 10.0) * floor(abs(confidence * 100 * 10.0) + 0.5) / 10.0 AS confidence_pct
-  FROM alerts ORDER BY window_id DESC, source_ip DESC LIMIT 500),
+  FROM alerts),
 blocked AS (SELECT * FROM (VALUES {", ".join(f"('{b}')" for b in BLOCKED_IPS)}) t(ip))"""
-R = W(*ALERTS_LISTS, LATEST)
+R = W(*ALERTS_LISTS, VIEW)
 FILTER_SEVERITIES = ("Severe", "Moderate")
 
 
-def _latest(s, sf):
-    return reports.latest_alerts(alerts_df(s, sf, lists=True))
+def _view(s, sf):
+    return reports.alert_view(alerts_df(s, sf, lists=True))
 
 
 def _blocked(s):
     return _ip_df(s, BLOCKED_IPS)
 
 
-register("latest_alerts", R + "SELECT * FROM latest")(_latest)
+register("latest_alerts", R + f"SELECT * FROM view ORDER BY window_id DESC, source_ip DESC LIMIT {C.LATEST_ALERTS}")(
+    lambda s, sf: reports.latest_alerts(_view(s, sf)))
 
-register("severity_filter", R + f"SELECT * FROM latest WHERE {SEV} IN ('Severe', 'Moderate')")(
-    lambda s, sf: reports.severity_filter(_latest(s, sf), FILTER_SEVERITIES))
+register("severity_filter", R + f"SELECT * FROM view WHERE {SEV} IN ('Severe', 'Moderate')")(
+    lambda s, sf: reports.severity_filter(_view(s, sf), FILTER_SEVERITIES))
 
 register("alert_page", R + f"""
-SELECT * FROM latest WHERE {SEV} IN ('Severe', 'Moderate') ORDER BY window_id DESC, source_ip DESC LIMIT 100""")(
-    lambda s, sf: reports.alert_page(_latest(s, sf), FILTER_SEVERITIES))
+SELECT * FROM view WHERE {SEV} IN ('Severe', 'Moderate') ORDER BY window_id DESC, source_ip DESC LIMIT 100""")(
+    lambda s, sf: reports.alert_page(_view(s, sf), FILTER_SEVERITIES))
 
 register("soc_metrics", R + """
-SELECT (SELECT count(*) FROM latest) AS total_flows,
-       (SELECT count(*) FROM latest WHERE threat_level = 'Severe (Critical Anomaly)') AS critical_threats,
-       (SELECT count(DISTINCT source_ip) FROM latest) AS unique_sources,
+SELECT (SELECT count(*) FROM view) AS total_flows,
+       (SELECT count(*) FROM view WHERE threat_level = 'Severe (Critical Anomaly)') AS critical_threats,
+       (SELECT count(DISTINCT source_ip) FROM view) AS unique_sources,
        (SELECT count(DISTINCT ip) FROM blocked) AS blocked_ips""")(
-    lambda s, sf: reports.soc_metrics(_latest(s, sf), _blocked(s)))
+    lambda s, sf: reports.soc_metrics(_view(s, sf), _blocked(s)))
 
-register("threat_distribution", R + 'SELECT threat_level, count(*) AS "count" FROM latest GROUP BY threat_level')(
-    lambda s, sf: reports.threat_distribution(_latest(s, sf)))
+register("threat_distribution", R + 'SELECT threat_level, count(*) AS "count" FROM view GROUP BY threat_level')(
+    lambda s, sf: reports.threat_distribution(_view(s, sf)))
 
 register("top_talkers", R + """
-SELECT source_ip, count(*) AS flows FROM latest GROUP BY source_ip ORDER BY flows DESC, source_ip LIMIT 5""")(
-    lambda s, sf: reports.top_talkers(_latest(s, sf)))
+SELECT source_ip, count(*) AS flows FROM view GROUP BY source_ip ORDER BY flows DESC, source_ip LIMIT 5""")(
+    lambda s, sf: reports.top_talkers(_view(s, sf)))
 
-register("distinct_sources", R + "SELECT DISTINCT source_ip FROM latest")(
-    lambda s, sf: reports.distinct_sources(_latest(s, sf)))
+register("distinct_sources", R + "SELECT DISTINCT source_ip FROM view")(
+    lambda s, sf: reports.distinct_sources(_view(s, sf)))
 
 register("threat_timeline", R + f"""
 SELECT window_id, time,
   count(*) FILTER (WHERE {SEV} = 'Severe') AS "Severe",
   count(*) FILTER (WHERE {SEV} = 'Moderate') AS "Moderate",
   count(*) FILTER (WHERE {SEV} = 'Baseline') AS "Baseline"
-FROM latest GROUP BY window_id, time""")(
-    lambda s, sf: reports.threat_timeline(_latest(s, sf)))
+FROM view GROUP BY window_id, time""")(
+    lambda s, sf: reports.threat_timeline(_view(s, sf)))
 
 register("mitigation_queue", R + """
 SELECT source_ip, count(*) AS severe_alerts, concat('IDS_BLOCK_', replace(source_ip, '.', '_')) AS rule_name
-FROM latest WHERE threat_level = 'Severe (Critical Anomaly)' AND source_ip NOT IN (SELECT ip FROM blocked)
+FROM view WHERE threat_level = 'Severe (Critical Anomaly)' AND source_ip NOT IN (SELECT ip FROM blocked)
 GROUP BY source_ip""")(
-    lambda s, sf: reports.mitigation_queue(_latest(s, sf), _blocked(s)))
+    lambda s, sf: reports.mitigation_queue(_view(s, sf), _blocked(s)))
 
-register("mitigation_status", W(*ALERTS_LISTS, LATEST, """
-sev AS (SELECT DISTINCT source_ip FROM latest WHERE threat_level = 'Severe (Critical Anomaly)')""") + """
+register("mitigation_status", W(*ALERTS_LISTS, VIEW, """
+sev AS (SELECT DISTINCT source_ip FROM view WHERE threat_level = 'Severe (Critical Anomaly)')""") + """
 SELECT severe_sources, mitigated, severe_sources - mitigated AS awaiting,
   CASE WHEN severe_sources - mitigated > 0 THEN 'awaiting mitigation'
        WHEN severe_sources > 0 THEN 'all mitigated' ELSE 'no critical threats' END AS status
 FROM (SELECT (SELECT count(*) FROM sev) AS severe_sources,
              (SELECT count(*) FROM sev WHERE source_ip IN (SELECT ip FROM blocked)) AS mitigated) q""")(
-    lambda s, sf: reports.mitigation_status(_latest(s, sf), _blocked(s)))
+    lambda s, sf: reports.mitigation_status(_view(s, sf), _blocked(s)))
 
 register("window_severity_counts", W(*ALERTS_LISTS) + """
 SELECT window_id,
@@ -158,13 +159,13 @@ thr(k, rn, i, t, last_kept, kept) AS (
 
 
 EVENT_NOTICES = """
-err AS (SELECT user_id % 8 AS notice_key, event_id, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) AS t_us
-        FROM events WHERE event_type = 'error')"""
+err AS (SELECT user_id AS notice_key, event_id, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) AS t_us
+        FROM events)"""
 
 
 def _event_throttle(s, sf):
-    ev = read_table(s, sf, "events").filter(F.col("event_type") == "error").select(
-        (F.col("user_id") % 8).alias("notice_key"), "event_id",
+    ev = read_table(s, sf, "events").select(
+        F.col("user_id").alias("notice_key"), "event_id",
         F.expr("cast(datediff(to_date(ts), DATE'2024-01-01') AS bigint) * 86400000000 + cast(hour(ts) AS bigint) * 3600000000"
                " + cast(minute(ts) AS bigint) * 60000000 + cast(extract(SECOND FROM ts) * 1000000 AS bigint)").alias("t_us"))
     return greedy_throttle(ev, ["notice_key"], "t_us", "event_id", C.Thresholds().throttle_s * 1_000_000)
@@ -208,8 +209,8 @@ def _p(x, d):
 
 
 register("notice_text", W(*ALERTS_LISTS, NOTICES) + f"""
-SELECT window_id, source_ip, concat('[Hybrid IDS] Severe Threat from ', source_ip) AS subject,
-  concat('Hybrid IDS Severe Alert', chr(10), '=======================', chr(10),
+SELECT window_id, source_ip, concat('{C.NOTICE_SUBJECT_PREFIX}', source_ip) AS subject,
+  concat('{C.NOTICE_TITLE}', chr(10), '{"=" * len(C.NOTICE_TITLE)}', chr(10),
     'Timestamp      : ', {O.clock('window_start_us')}, chr(10),
     'Source IP      : ', source_ip, chr(10),
     'Traffic Profile: ', profile, chr(10),

@@ -47,20 +47,23 @@ def clock(us: str) -> str:
 
 PACKETS = """
 e AS (
-  SELECT event_id, event_type, value, user_id % 16 AS c,
+  SELECT event_id, event_type, value, user_id, user_id % 16 AS c,
          cast(json_extract_string(props, '$.k') AS bigint) AS k,
          date_diff('microsecond', TIMESTAMP '2024-01-01', ts) AS us
   FROM events),
 x AS (SELECT *, (c IN (0,1,2,4,5) OR event_type IN ('click','view','purchase')) AS is_tcp FROM e),
 packets AS (
   SELECT event_id AS frame_no,
-    1704067200000000 + us // CASE c WHEN 0 THEN 4194304 WHEN 1 THEN 8388608 WHEN 2 THEN 131072
-         WHEN 3 THEN 2097152 WHEN 4 THEN 65536 WHEN 6 THEN 262144 WHEN 10 THEN 8192 ELSE 16384 END AS ts_us,
+    CASE event_id % 997 WHEN 5 THEN 0 WHEN 6 THEN -1000000 ELSE 1704067200000000 + us // CASE c WHEN 0 THEN 4194304 WHEN 1 THEN 8388608 WHEN 2 THEN 131072
+         WHEN 3 THEN 2097152 WHEN 4 THEN 65536 WHEN 6 THEN 262144 WHEN 10 THEN 8192 ELSE 16384 END END AS ts_us,
     CASE WHEN event_id % 101 = 0 THEN '' WHEN event_id % 103 = 0 THEN 'nan'
+         WHEN event_id % 109 = 0 THEN '   '
+         WHEN c > 10 THEN concat('10.1.', cast(user_id // 256 % 256 AS varchar), '.', cast(user_id % 256 AS varchar))
          ELSE concat('10.0.0.', cast(c + 1 AS varchar)) END AS src_ip,
     CASE WHEN event_id % 89 = 0 THEN NULL
          ELSE concat('192.168.', cast(k % 4 AS varchar), '.', cast(event_id % 8 AS varchar)) END AS dst_ip,
-    CAST(NULL AS varchar) AS tcp_src, CAST(NULL AS varchar) AS udp_src,
+    CASE WHEN is_tcp THEN concat(cast(1024 + event_id % 50000 AS varchar), if(event_id % 67 = 0, ',443', '')) END AS tcp_src,
+    CASE WHEN NOT is_tcp AND event_id % 17 <> 0 THEN concat(cast(1024 + event_id % 40000 AS varchar), if(event_id % 5 = 0, '.0', '')) END AS udp_src,
     CASE WHEN is_tcp THEN CASE WHEN c IN (2,5) THEN 1 + event_id % 1024 WHEN c = 4 THEN 22
          WHEN k % 2 = 0 THEN 80 ELSE 443 END END AS tcp_dst,
     CASE WHEN NOT is_tcp AND event_id % 13 <> 0 THEN

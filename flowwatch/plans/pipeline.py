@@ -117,8 +117,3 @@ def detect(raw: DataFrame, det: Detector | None = None) -> DataFrame:
 def alerts(raw: DataFrame, det: Detector | None = None) -> DataFrame:
     """Raw packets -> alert table (one row per gated window and source)."""
     return to_alerts(detect(raw, det))
-
-
-def severe_only(alerts_df: DataFrame) -> DataFrame:
-    """N1."""
-    return alerts_df.filter(F.col("threat_level") == C.SEVERE)

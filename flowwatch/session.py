@@ -37,7 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; pick a scratch one only if unset.
 
     The folder must be shared storage on a cluster (executors can be lost, so
-    lineage is cut into files every node can read).
+    lineage is cut into files every node can read); a scratch folder is only
+    taken where driver and executors are one process.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -45,26 +46,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         path = tempfile.mkdtemp(prefix="flowwatch-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
 
-def cluster_conf(input_bytes: int, target_partition_bytes: int = 128 << 20,
-                 min_partitions: int = 200) -> dict[str, str]:
-    """Shuffle / split sizing for a given input volume (apply on the cluster's
-    session builder).  Shuffle partitions are sized so each holds about
-    ``target_partition_bytes`` of the full input (the widest shuffle moves
-    projected packet columns, a fraction of the input); AQE coalesces small
-    ones and splits skewed ones at run time."""
-    parts = max(min_partitions, -(-int(input_bytes) // target_partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    }
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system its scheme names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

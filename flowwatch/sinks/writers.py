@@ -63,11 +63,13 @@ def export_csv(view: DataFrame, path: str) -> None:
 
 def load_detector_model(rf_path: str | None, fallback_path: str | None = None):
     """Prefer the supervised model; else the clustering model; else none (rules)."""
-    import os
+    from pyspark.sql import SparkSession
     from flowwatch.operators.ml import FlowModel
-    if rf_path and os.path.exists(rf_path):
+    from flowwatch.session import path_exists
+    spark = SparkSession.getActiveSession()
+    if rf_path and path_exists(spark, rf_path):
         return FlowModel.load(rf_path), True
-    if fallback_path and os.path.exists(fallback_path):
+    if fallback_path and path_exists(spark, fallback_path):
         from pyspark.ml.clustering import KMeansModel
         return KMeansModel.load(fallback_path), False
     return None, False

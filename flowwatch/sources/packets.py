@@ -29,7 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Packet view over the driver's ``events`` table (FIXTURES.md section 1): the
 # expressions are the fixture definition and are mirrored in the oracle SQL.
 _VIEW_BASE = [
-    "event_id", "event_type", "value",
+    "event_id", "event_type", "value", "user_id",
     "user_id % 16 AS c",
     "cast(get_json_object(props, '$.k') AS bigint) AS k",
     # microseconds since 2024-01-01 from wall-clock fields: time-zone free for TIMESTAMP_NTZ
@@ -39,15 +39,17 @@ _VIEW_BASE = [
 _VIEW_TCP = "(c IN (0,1,2,4,5) OR event_type IN ('click','view','purchase')) AS is_tcp"
 _VIEW_COLS = [
     "event_id AS frame_no",
-    """1704067200000000 + us div CASE c WHEN 0 THEN 4194304 WHEN 1 THEN 8388608
+    """CASE event_id % 997 WHEN 5 THEN 0 WHEN 6 THEN -1000000 ELSE 1704067200000000 + us div CASE c WHEN 0 THEN 4194304 WHEN 1 THEN 8388608
          WHEN 2 THEN 131072 WHEN 3 THEN 2097152 WHEN 4 THEN 65536 WHEN 6 THEN 262144
-         WHEN 10 THEN 8192 ELSE 16384 END AS ts_us""",
+         WHEN 10 THEN 8192 ELSE 16384 END END AS ts_us""",
     """CASE WHEN event_id % 101 = 0 THEN '' WHEN event_id % 103 = 0 THEN 'nan'
+         WHEN event_id % 109 = 0 THEN '   '
+         WHEN c > 10 THEN concat('10.1.', cast(user_id div 256 % 256 AS string), '.', cast(user_id % 256 AS string))
          ELSE concat('10.0.0.', cast(c + 1 AS string)) END AS src_ip""",
     """CASE WHEN event_id % 89 = 0 THEN NULL
          ELSE concat('192.168.', cast(k % 4 AS string), '.', cast(event_id % 8 AS string)) END AS dst_ip""",
-    "CAST(NULL AS string) AS tcp_src",
-    "CAST(NULL AS string) AS udp_src",
+    "CASE WHEN is_tcp THEN concat(cast(1024 + event_id % 50000 AS string), if(event_id % 67 = 0, ',443', '')) END AS tcp_src",
+    "CASE WHEN NOT is_tcp AND event_id % 17 <> 0 THEN concat(cast(1024 + event_id % 40000 AS string), if(event_id % 5 = 0, '.0', '')) END AS udp_src",
     """CASE WHEN is_tcp THEN CASE WHEN c IN (2,5) THEN 1 + event_id % 1024 WHEN c = 4 THEN 22
          WHEN k % 2 = 0 THEN 80 ELSE 443 END END AS tcp_dst""",
     """CASE WHEN NOT is_tcp AND event_id % 13 <> 0 THEN
@@ -75,19 +77,8 @@ def packet_view(events: DataFrame) -> DataFrame:
     return events.selectExpr(*_VIEW_BASE).selectExpr("*", _VIEW_TCP).selectExpr(*_VIEW_COLS)
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin an input whose scan yields fewer splits than the cluster has
-    cores (e.g. one parquet row group), so the CPU-heavy per-row parsing runs
-    on every core.  Large inputs already have more splits than cores and are
-    returned unchanged (no shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packet_view(spread_small_input(read_table(spark, sf_dir, "events")))
+    return packet_view(read_table(spark, sf_dir, "events"))
 
 
 # ---------------------------------------------------------------------------
@@ -100,6 +91,20 @@ def csv_schema() -> T.StructType:
     return T.StructType(fields + [T.StructField("_overflow", T.StringType())])
 
 
+def csv_reader(reader):
+    """Options of a batch or stream reader of packet-field CSV: each file's first line is a
+    header, every field is text, and an empty field differs from one that is not there."""
+    return (reader.schema(csv_schema()).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
+            .option("quote", '"').option("sep", ",").option("nullValue", "\u0001").option("emptyValue", ""))
+
+
+def csv_rows(rows: DataFrame) -> DataFrame:
+    """Raw packets of the rows that :func:`csv_reader` reads: over-long rows (a field beyond the
+    fifteenth, empty or not) are dropped, empty fields are null."""
+    rows = rows.filter(F.col("_overflow").isNull())
+    return _to_raw(rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in C.RAW_COLUMNS]))
+
+
 def _to_raw(df: DataFrame) -> DataFrame:
     ts = F.round(coerce_numeric("time_epoch") * F.lit(1_000_000.0)).try_cast("bigint")
     return df.select(
@@ -109,48 +114,31 @@ def _to_raw(df: DataFrame) -> DataFrame:
     )
 
 
-def read_packets_csv(spark: SparkSession, paths, max_files: int | None = None) -> DataFrame:
+def _fields(line: str) -> F.Column:
+    """Number of fields of a CSV line (commas inside quotes do not count)."""
+    return F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ",", -1))
+
+
+def read_packets_csv(spark: SparkSession, paths) -> DataFrame:
     """A1 + A2 + H6: union of packet-field CSV files in one scan.
 
-    * fields are renamed by position; every field is read as text (no inference);
-    * short lines are null-padded, over-long lines are dropped (``_overflow``);
-    * files whose header does not have exactly 15 fields are skipped whole;
-    * ``max_files`` caps the number of files (sorted path order).
+    * each file's first line is its header, whatever it holds; fields are renamed
+      by position and read as text (no inference);
+    * a file is skipped whole only if that line has not exactly 15 fields;
+    * data rows: short ones are null-padded, over-long ones are dropped, empty lines
+      are skipped; a row whose time is no number is kept with time 0.
 
-    One pass over the data: the header row of each file is recognised as the
-    row whose time field is non-numeric text, and the per-file arity check is
-    a semi-join against that (one row per file) table.
+    The headers are found by a scan for the first line of each file, combined
+    before the shuffle to one row per file; the data rows are joined to the
+    files that pass, and neither file names nor rows pass through the driver.
     """
-    if isinstance(paths, str):
-        paths = [paths]
-    files = sorted(spark.read.format("text").load(paths).inputFiles())
-    if max_files is not None:
-        files = files[:max_files]
-    if not files:
-        return spark.createDataFrame([], _raw_string_schema())
-    rows = (
-        spark.read.schema(csv_schema())
-        .option("header", False).option("mode", "PERMISSIVE")
-        .option("quote", '"').option("sep", ",")
-        .csv(files)
-        .withColumn("_file", F.col("_metadata.file_path"))
-    )
-    t = F.trim(F.col("time_epoch"))
-    is_header = t.isNotNull() & ~t.rlike(C.NUMERIC_PATTERN)
-    arity = sum(F.col(c).isNotNull().cast("int") for c in C.RAW_COLUMNS + ["_overflow"])
-    good_files = (rows.filter(is_header).groupBy("_file")
-                  .agg(F.min(arity).alias("n"), F.max(arity).alias("m"))
-                  .filter("n = 15 AND m = 15").select("_file"))
-    data = rows.filter(~is_header | t.isNull()).filter(F.col("_overflow").isNull())
-    data = data.join(good_files, "_file", "left_semi")
-    return _to_raw(data)
-
-
-def _raw_string_schema() -> T.StructType:
-    return T.StructType(
-        [T.StructField("frame_no", T.LongType()), T.StructField("ts_us", T.LongType())]
-        + [T.StructField(c, T.StringType()) for c in C.RAW_COLUMNS[1:]]
-    )
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+    first = (lines.filter("_at = 0").withColumn("_n", F.monotonically_increasing_id())
+             .groupBy("_file").agg(F.min_by("value", "_n").alias("header")))
+    good = first.filter(_fields("header") == len(C.RAW_COLUMNS)).select("_file")
+    rows = csv_reader(spark.read).csv(paths).withColumn("_file", F.col("_metadata.file_path"))
+    return csv_rows(rows.join(good, "_file", "left_semi"))
 
 
 def union_packets(*frames: DataFrame) -> DataFrame:

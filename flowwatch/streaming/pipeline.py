@@ -34,7 +34,8 @@ from flowwatch.operators.flows import _derive, _merge, idiv
 from flowwatch.operators.rolling import rolling_state
 from flowwatch.plans.pipeline import Detector, score_flows, to_alerts
 from flowwatch.sinks.writers import append_table, write_protocol_breakdown
-from flowwatch.sources.packets import RAW_ORDER, _to_raw, csv_schema
+from flowwatch.session import path_exists
+from flowwatch.sources.packets import RAW_ORDER, csv_reader, csv_rows
 
 FLOW_KEYS = ["window_id", "src_ip"]
 
@@ -54,8 +55,7 @@ def packet_stream(spark: SparkSession, path: str, fmt: str = "parquet",
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        rows = r.schema(csv_schema()).option("header", True).csv(path)
-        return _to_raw(rows.filter(F.col("_overflow").isNull()))
+        return csv_rows(csv_reader(r).csv(path))
     return r.schema(raw_schema_typed()).parquet(path)
 
 
@@ -64,15 +64,24 @@ STREAM_SUB_US = 100_000      # 100 ms: 20 state entries per (window, source) at
 
 def window_aggregates(raw: DataFrame, th: Thresholds = DEFAULT, watermark: str = "4 seconds",
                       origin_us: int = 0, sub_us: int = STREAM_SUB_US) -> DataFrame:
-    """Streaming (window, source, sub-bucket) partials; blank sources kept for
-    the gate.  The per-group time list is bounded by ``sub_us`` of one source,
-    so a flooding source does not build one huge state entry per window."""
+    """Streaming (window, source, sub-bucket, protocol) partials.
+
+    Packets without a source only count for the gate: their targets and times
+    are not kept.  What a state entry keeps per packet is its time (the gap
+    moment needs their order), bounded by ``sub_us`` of one source; protocols
+    are part of the key, so their counts are sums."""
     clean = clean_packets(raw).filter(F.col("ts_us") > 0)
     ev = (clean.withColumn("event_time", F.timestamp_micros("ts_us"))
-          .withColumn("_sub", idiv(F.col("ts_us"), sub_us)))
+          .withColumn("_sub", idiv(F.col("ts_us"), sub_us)).withColumn("_blank", is_blank("src_ip")))
+    # one key for all packets without a source
+    ev = (ev.withColumn("src_ip", F.when(~F.col("_blank"), F.col("src_ip")))
+          .withColumn("protocol", F.when(~F.col("_blank"), F.col("protocol"))))
+
+    def known(c: str) -> F.Column:
+        return F.when(~F.col("_blank"), F.col(c))
     offset = origin_us % th.window_us
     win = F.window("event_time", f"{th.window_us} microseconds", startTime=f"{offset} microseconds")
-    agg = ev.withWatermark("event_time", watermark).groupBy(win.alias("w"), "src_ip", "_sub").agg(
+    agg = ev.withWatermark("event_time", watermark).groupBy(win.alias("w"), "src_ip", "_sub", "protocol").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("frame_len").alias("sx"),
         F.sum(F.col("frame_len") * F.col("frame_len")).alias("sxx"),
@@ -80,11 +89,9 @@ def window_aggregates(raw: DataFrame, th: Thresholds = DEFAULT, watermark: str =
         F.sum("fin").alias("fin"), F.sum("rst").alias("rst"),
         F.sum("ttl").alias("ttl"), F.sum("win").alias("win"),
         F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"),
-        F.count_if(F.col("protocol") == "DNS").alias("dns_packets"),
-        F.collect_set("dst_ip").alias("_ips"),
-        F.collect_set("dst_port").alias("_ports"),
-        F.collect_list("ts_us").alias("_times"),
-        F.collect_list(F.struct("protocol", "frame_len")).alias("_protos"),
+        F.collect_set(known("dst_ip")).alias("_ips"),
+        F.collect_set(known("dst_port")).alias("_ports"),
+        F.collect_list(known("ts_us")).alias("_times"),
     )
     start = F.unix_micros(F.col("w.start"))
     return agg.select(idiv(start - F.lit(origin_us), th.window_us).alias("window_id"),
@@ -116,25 +123,33 @@ class StreamSinks:
         self.throttle_state = os.path.join(self.root, "throttle_state")
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def _previous_state(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame | None:
     """Snapshot written by the previous batch (``batch_id = N - 1``).
 
     Every executed batch writes its snapshot and batch ids are consecutive,
-    so a (re)run of batch N reads exactly the state batch N - 1 left.
+    so a (re)run of batch N reads exactly the state batch N - 1 left.  If that
+    is gone, history would silently start anew: an error.
     """
     prev = os.path.join(path, f"batch_id={batch_id - 1}")
-    if batch_id == 0 or not _path_exists(spark, prev):
+    if batch_id == 0:
         return None
+    if not path_exists(spark, prev):
+        raise FileNotFoundError(f"state of batch {batch_id - 1} is missing under {path}")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(prev)
 
 
+def _snapshot(state: DataFrame, path: str, batch_id: int) -> None:
+    """Writes a batch's state, an empty one too; a retried batch replaces its own."""
+    state.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+
+
+def _forget(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Removes the snapshot that no retry can ask for any more: batch N reads N - 1 only."""
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(path, f"batch_id={batch_id - 2}"))
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def _write_all(jobs) -> None:
     """Run independent sink writes as concurrent Spark jobs."""
     from concurrent.futures import ThreadPoolExecutor
@@ -154,7 +169,13 @@ def process_batch(batch: DataFrame, batch_id: int, det: Detector, sinks: StreamS
     gate = (batch.groupBy("window_id").agg(F.sum("n").alias("_wp"))
             .filter(F.col("_wp") >= th.min_window_packets).select("window_id"))
     rows = batch.join(gate, "window_id")
-    valid = rows.filter(~is_blank("src_ip")).withColumn("s2", _gap_moment(F.col("_times")))
+    # protocols of a sub-bucket together again
+    valid = rows.filter(F.col("src_ip").isNotNull()).groupBy(*FLOW_KEYS, "window_start_us", "_sub").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "syn", "ack", "fin", "rst", "ttl", "win")],
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.coalesce(F.sum(F.when(F.col("protocol") == "DNS", F.col("n"))), F.lit(0)).alias("dns_packets"),
+        *[F.flatten(F.collect_list(c)).alias(c) for c in ("_ips", "_ports", "_times")])
+    valid = valid.withColumn("s2", _gap_moment(F.col("_times"))).drop("_times")
     # merge sub-buckets into (window, source): boundary gaps + union of target sets
     sets = [F.size(F.array_distinct(F.flatten(F.collect_list("_ips")))).cast("bigint").alias("unique_target_ips"),
             F.size(F.array_distinct(F.flatten(F.collect_list("_ports")))).cast("bigint").alias("unique_target_ports")]
@@ -171,16 +192,16 @@ def process_batch(batch: DataFrame, batch_id: int, det: Detector, sinks: StreamS
     state = (rolled.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= keep)
              .select(*flows.columns))
     scored = score_flows(rolled.filter("_new").drop("_new"), det).cache()
-    protos = (rows.filter(~is_blank("src_ip")).select(*FLOW_KEYS, F.explode("_protos").alias("p"))
-              .filter(~is_blank(F.col("p.protocol")))
-              .groupBy(*FLOW_KEYS, F.col("p.protocol").alias("protocol"))
-              .agg(F.count(F.lit(1)).alias("packets"), F.sum("p.frame_len").alias("bytes")))
-    jobs = [lambda: append_table(state, sinks.state, batch_id),
+    protos = (rows.filter(F.col("src_ip").isNotNull() & ~is_blank("protocol")).groupBy(*FLOW_KEYS, "protocol")
+              .agg(F.sum("n").alias("packets"), F.sum("sx").alias("bytes")))
+    jobs = [lambda: _snapshot(state, sinks.state, batch_id),
             lambda: append_table(to_alerts(scored), sinks.alerts, batch_id),
             lambda: write_protocol_breakdown(protos, sinks.protocols, batch_id)]
     if sinks.notify_cfg is not None:
         jobs.append(lambda: _notices_batch(scored, batch_id, det, sinks))
     _write_all(jobs)
+    for path in (sinks.state, sinks.throttle_state):
+        _forget(spark, path, batch_id)
     scored.unpersist()
     rolled.unpersist()
     batch.unpersist()
@@ -189,28 +210,31 @@ def process_batch(batch: DataFrame, batch_id: int, det: Detector, sinks: StreamS
 def _notices_batch(scored: DataFrame, batch_id: int, det: Detector, sinks: StreamSinks) -> None:
     """S3: keyed throttle across batches.
 
-    The state is one row per source (last kept time).  It is prepended to the
-    batch's notices as the earliest row of its key, so the same exact greedy
-    throttle continues the chain; the new snapshot is written to
-    ``throttle_state/batch_id=N`` (idempotent on retry).
+    The state is one row per source (last kept time) of the last period; an
+    older one can't hold back anything.  It is prepended to the batch's notices as
+    the earliest row of its key (a window's start is unique within its source), so
+    the same exact greedy throttle continues the chain; the new snapshot is written
+    to ``throttle_state/batch_id=N`` (idempotent on retry).
     """
     from flowwatch.functions import clock_text
     from flowwatch.operators import notify
     from flowwatch.operators.throttle import greedy_throttle
     spark = scored.sparkSession
     notices = notify.notice_records(scored).withColumn("timestamp", clock_text(F.col("window_start_us")))
-    keys = notices.select("source_ip", "window_id", "window_start_us")
+    period = det.th.throttle_s * 1_000_000
+    keys = notices.select("source_ip", "window_start_us", F.lit(False).alias("_seed"))
     prev = _previous_state(spark, sinks.throttle_state, batch_id, "source_ip string, last_kept_us bigint")
     if prev is not None:
-        seed = prev.select("source_ip", F.lit(-1).cast("bigint").alias("window_id"),
-                           F.col("last_kept_us").alias("window_start_us"))
+        seed = prev.select("source_ip", F.col("last_kept_us").alias("window_start_us"), F.lit(True).alias("_seed"))
         keys = seed.unionByName(keys)
-    kept = greedy_throttle(keys, ["source_ip"], "window_start_us", "window_id",
-                           det.th.throttle_s * 1_000_000).cache()
+    keys = keys.withColumn("_id", F.col("window_start_us"))
+    kept = greedy_throttle(keys, ["source_ip"], "window_start_us", "_id", period).cache()
     state = kept.groupBy("source_ip").agg(F.max("window_start_us").alias("last_kept_us"))
-    append_table(state, sinks.throttle_state, batch_id)
-    sent = notices.join(kept.filter(F.col("window_id") >= 0).select("source_ip", "window_id"),
-                        ["source_ip", "window_id"], "left_semi")
+    now = scored.agg(F.max("window_start_us")).scalar()
+    state = state.filter(F.col("last_kept_us") > F.coalesce(now, F.lit(0)) - period)
+    _snapshot(state, sinks.throttle_state, batch_id)
+    sent = notices.join(kept.filter(~F.col("_seed")).select("source_ip", "window_start_us"),
+                        ["source_ip", "window_start_us"], "left_semi")
     cfg = sinks.notify_cfg
     out = notify.with_payload(notify.fan_out(notify.with_text(sent), notify.enabled_channels(cfg)), cfg)
     append_table(out, sinks.outbox, batch_id)
@@ -257,9 +281,9 @@ def stage_replay_files(raw: DataFrame, path: str, chunks: int = 8, spacing_s: fl
     raw = raw.select(*[F.col(c).cast("string").alias(c) if c not in ("frame_no", "ts_us") else F.col(c)
                        for c in RAW_ORDER])
     t0 = spark.range(1).select(window_origin(clean_packets(raw))).first()[0]
-    lo, hi = raw.agg(F.min("ts_us"), F.max("ts_us")).first()
+    lo, hi = raw.filter("ts_us > 0").agg(F.min("ts_us"), F.max("ts_us")).first()
     cuts = [lo + (hi - lo) * i // chunks for i in range(chunks + 1)]
-    cuts[-1] = hi + 1
+    cuts[0], cuts[-1] = -(1 << 62), hi + 1           # unusable times go with the first slice
     for a, b in zip(cuts, cuts[1:]):
         raw.filter((F.col("ts_us") >= a) & (F.col("ts_us") < b)).coalesce(1).write.mode("append").parquet(path)
         time.sleep(spacing_s)

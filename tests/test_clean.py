@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowwatch.functions import canonical_port, clean_flag, coerce_numeric
@@ -61,7 +62,31 @@ def test_packet_csv_edge_cases(spark, tmp):
     rows = df.orderBy("ts_us").collect()
     assert [r.ts_us for r in rows] == [1700000000500000, 1700000001000000, 1700000001500000]
     assert rows[1].tcp_dst == "80,443" and rows[2].dst_ip is None
-    assert read_packets_csv(spark, [good, bad], max_files=1).count() == 3
+
+
+GOOD = '"170000000{}","10.0.0.1","10.0.0.2","1234","","80","","TCP","60","True","False","0","0","64","1024"'
+
+
+@pytest.mark.parametrize("odd,kept", [
+    ('"oops","10.0.0.1"', 6),                                                                            # short
+    ('"oops","10.0.0.1","10.0.0.2","1","","80","","TCP","60","0","0","0","0","64","1","x"', 5),         # over-long
+    ('"oops","10.0.0.1","10.0.0.2","1","","80","","TCP","60","0","0","0","0","64","1",""', 5),          # over-long by an empty field
+    ('"oops","10.0.0.1","10.0.0.2","1","","80","","TCP","60","0","0","0","0","64","1"', 6),             # empty fields
+    ('"oops","10.0.0.1","10.0.0.2","1","2","80","3","TCP","60","0","0","0","0","64","1"', 6),           # full
+])
+def test_a_bad_time_costs_no_file(spark, tmp, odd, kept):
+    p = os.path.join(tmp, "a.csv")
+    _write(p, [HEADER, *[GOOD.format(i) for i in range(3)], odd, *[GOOD.format(i) for i in (3, 4)]])
+    rows = read_packets_csv(spark, p).collect()
+    assert len(rows) == kept and sum(r.ts_us == 0 for r in rows) == kept - 5
+
+
+def test_first_line_is_the_header(spark, tmp):
+    """A file without one loses its first row; a 14-column file goes whole, wherever it stands."""
+    _write(os.path.join(tmp, "a.csv"), [GOOD.format(i) for i in range(5)])
+    _write(os.path.join(tmp, "b.csv"), [",".join(HEADER.split(",")[:14]), *[GOOD.format(i) for i in range(5)]])
+    assert read_packets_csv(spark, os.path.join(tmp, "a.csv")).count() == 4
+    assert read_packets_csv(spark, tmp).count() == 4
 
 
 def test_ip_list(spark, tmp):

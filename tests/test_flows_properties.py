@@ -6,10 +6,11 @@ from flowwatch import config as C
 from flowwatch.operators.flows import assign_windows, flow_features, flow_features_global
 from flowwatch.operators.clean import clean_packets, drop_unaddressed
 from flowwatch.operators.fusion import fuse
-from flowwatch.plans.pipeline import alerts
+from flowwatch.config import Thresholds
+from flowwatch.plans.pipeline import alerts, flows_with_history
 from flowwatch.sources.packets import packets_from_events
 
-from conftest import SF001
+from conftest import SF001, SF01
 
 
 def _rows(df):
@@ -45,14 +46,58 @@ def test_fuse_ties_keep_first_argument(spark):
     assert got == [C.BANDWIDTH, C.MODERATE, C.SEVERE]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_alert_plan_is_jvm_only(spark):
-    plan = alerts(packets_from_events(spark, SF001))._jdf.queryExecution().executedPlan().toString()
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    # single-partition exchanges only gather one partial aggregate row per task
-    lines = plan.splitlines()
-    for i, line in enumerate(lines):
-        if "Exchange SinglePartition" in line:
-            assert "HashAggregate" in lines[i + 1] and "partial_" in lines[i + 1]
+    pk = assign_windows(clean_packets(packets_from_events(spark, SF001)))
+    for df in (flow_features(pk), flows_with_history(pk, materialize=False), alerts(packets_from_events(spark, SF001))):
+        plan = _plan(df)
+        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+        # single-partition exchanges only gather one partial aggregate row per task
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line:
+                assert "HashAggregate" in lines[i + 1] and "partial_" in lines[i + 1]
+    assert "FileScan parquet" in _plan(flow_features(pk))
+
+
+def test_flow_plan_holds_no_group_together(spark):
+    plan = _plan(flow_features(assign_windows(clean_packets(packets_from_events(spark, SF001)))))
+    assert "collect_set" not in plan and "collect_list" not in plan
+    for line in plan.splitlines():
+        if "Window [" in line:
+            assert "_sub" in line or "src_ip" in line
+
+
+def test_moments_of_a_very_large_source(spark):
+    from flowwatch.operators.flows import _derive
+    n = 10 ** 10
+    m = spark.sql(f"""SELECT 's' AS src_ip, {n}L AS n, {100 * n}L AS sx, cast({20_000 * n} AS decimal(38,0)) AS sxx, 0.0D AS syn,
+        0.0D AS ack, 0.0D AS fin, 0.0D AS rst, 0.0D AS ttl, 0.0D AS win, 0L AS lo, {10 * (n - 1)}L AS hi,
+        cast({104 * (n - 1)} AS decimal(38,0)) AS s2, 0L AS dns_packets, 1L AS unique_target_ips, 1L AS unique_target_ports""")
+    r = _derive(m, ["src_ip"], Thresholds()).first()
+    assert abs(r.packet_size_std - 100.0) < 1e-6 and abs(r.iat_mean - 1e-5) < 1e-12 and abs(r.iat_std - 2e-6) < 1e-12
+
+
+def test_no_nested_loops_and_no_jobs_while_planning(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    sc = spark.sparkContext
+    for name in ("scaled_features", "window_progress", "soc_metrics", "replay_summary", "column_profile", "flow_features"):
+        assert "NestedLoop" not in _plan(q[name](spark, SF001)), name
+    for name in ("flow_features", "scaled_features", "column_profile", "protocol_breakdown", "iat_join"):
+        sc.setJobGroup(name, name)
+        q[name](spark, SF001)
+        # at most the read of the table's footer
+        assert len(sc.statusTracker().getJobIdsForGroup(name)) <= 1, name
+    sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_flows_grow_with_the_table(spark):
+    n = [flow_features(assign_windows(clean_packets(packets_from_events(spark, d)))).count() for d in (SF001, SF01)]
+    assert n[1] >= 5 * n[0]
 
 
 def test_rolling_blocks_equal_single_frame(spark):
