@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -162,6 +162,28 @@ class FlowModel:
                          PipelineModel.load(os.path.join(path, "pipeline")))
 
 
+@dataclass
+class ClusterModel:
+    """The unsupervised fallback: k-means and the scaler that its centres were fitted behind."""
+
+    scaler: dict
+    kmeans: KMeansModel
+
+    def save(self, path: str) -> None:
+        self.kmeans.write().overwrite().save(os.path.join(path, "kmeans"))
+        _active().createDataFrame([(json.dumps(self.scaler),)], "scaler string") \
+            .write.mode("overwrite").json(os.path.join(path, "scaler"))
+
+    @staticmethod
+    def load(path: str) -> ClusterModel:
+        scaler = json.loads(_active().read.json(os.path.join(path, "scaler")).first()["scaler"])
+        return ClusterModel({k: tuple(v) for k, v in scaler.items()}, KMeansModel.load(os.path.join(path, "kmeans")))
+
+    def clusters(self, flows: DataFrame) -> DataFrame:
+        data = VectorAssembler(inputCols=SCALED, outputCol="features").transform(apply_scaler(flows, self.scaler))
+        return self.kmeans.transform(data).drop("features", *SCALED)
+
+
 def _active():
     from pyspark.sql import SparkSession
     return SparkSession.getActiveSession()
@@ -198,7 +220,8 @@ def feature_importance(model: FlowModel) -> DataFrame:
 
 
 def fit_kmeans(flows: DataFrame, k: int = 3, restarts: int = 10, seed: int = 42):
-    """K-means on scaled features, best of ``restarts`` seeds."""
+    """K-means on scaled features, best of ``restarts`` seeds: the model with its scaler
+    (``save`` keeps both), and the flows with their cluster."""
     scaler = fit_scaler(flows)
     data = VectorAssembler(inputCols=SCALED, outputCol="features").transform(apply_scaler(flows, scaler))
     # read by every restart and by the result: written once to the shared checkpoint folder
@@ -214,4 +237,4 @@ def fit_kmeans(flows: DataFrame, k: int = 3, restarts: int = 10, seed: int = 42)
         fits = list(pool.map(fit, range(restarts)))
     best = min(fits, key=lambda f: (f[0], f[1]))
     best = (best[0], best[2])
-    return best[1], best[1].transform(data).drop("features")
+    return ClusterModel(scaler, best[1]), best[1].transform(data).drop("features")

@@ -31,9 +31,9 @@ ALERT_COLUMNS = ["window_id", "window_start_us", "timestamp", "source_ip", "pack
 class Detector:
     """Configuration of the scoring layers.
 
-    ``model``: ``None`` -> no classifier (the rule threat stands in, confidence
-    0); ``"weak_label"`` -> the weak-supervision label as a deterministic
-    stand-in; otherwise a fitted ``PipelineModel`` from :mod:`flowwatch.operators.ml`.
+    ``model``: ``None``, or a ``ClusterModel`` -> no classifier (the rule threat
+    stands in, confidence 0); ``"weak_label"`` -> the weak-supervision label as a
+    deterministic stand-in; otherwise a ``FlowModel`` from :mod:`flowwatch.operators.ml`.
     """
 
     th: Thresholds = DEFAULT
@@ -63,13 +63,13 @@ def flows_with_history(pk: DataFrame, th: Thresholds = DEFAULT, materialize: boo
 
 def _model_layer(flows: DataFrame, det: Detector) -> DataFrame:
     """model threat + confidence."""
-    if det.model is None:
+    from flowwatch.operators.ml import ClusterModel, predict
+    if det.model is None or isinstance(det.model, ClusterModel):
         return (flows.withColumn("model_threat", F.col("rule_threat"))
                 .withColumn("confidence_raw", F.lit(0.0)))
     if det.model == "weak_label":
         return (flows.withColumn("model_threat", class_threat(weak_label(th=det.th)))
                 .withColumn("confidence_raw", F.lit(0.0)))
-    from flowwatch.operators.ml import predict
     scored = predict(det.model, flows)
     return (scored.withColumn("model_threat", class_threat(F.col("prediction")))
             .withColumn("confidence_raw", F.col("model_confidence")))

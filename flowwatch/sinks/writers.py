@@ -62,14 +62,14 @@ def export_csv(view: DataFrame, path: str) -> None:
 
 
 def load_detector_model(rf_path: str | None, fallback_path: str | None = None):
-    """Prefer the supervised model; else the clustering model; else none (rules)."""
+    """The supervised model, else the clustering model, else none; and whether it is
+    supervised.  Any of the three can be a :class:`Detector`'s model."""
     from pyspark.sql import SparkSession
-    from flowwatch.operators.ml import FlowModel
+    from flowwatch.operators.ml import ClusterModel, FlowModel
     from flowwatch.session import path_exists
     spark = SparkSession.getActiveSession()
     if rf_path and path_exists(spark, rf_path):
         return FlowModel.load(rf_path), True
     if fallback_path and path_exists(spark, fallback_path):
-        from pyspark.ml.clustering import KMeansModel
-        return KMeansModel.load(fallback_path), False
+        return ClusterModel.load(fallback_path), False
     return None, False

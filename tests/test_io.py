@@ -9,7 +9,7 @@ from flowwatch.operators.clean import clean_packets
 from flowwatch.operators.flows import assign_windows, flow_features, protocol_breakdown
 from flowwatch.operators import ml
 from flowwatch.operators.profile import column_profile
-from flowwatch.plans.pipeline import alerts
+from flowwatch.plans.pipeline import Detector, alerts
 from flowwatch.sinks.writers import (
     append_table, export_csv, load_detector_model, write_clean_packets, write_flow_features,
 )
@@ -65,6 +65,16 @@ def test_model_roundtrip_and_fallback(spark, tmp):
     b = [r.prediction for r in ml.predict(loaded, flows).orderBy("window_id", "src_ip").collect()]
     assert a == b
     assert load_detector_model(os.path.join(tmp, "none"), None) == (None, False)
+    # the fallback keeps its scaler, and a detector with it scores by rules with confidence 0
+    clusters, flagged = ml.fit_kmeans(flows, restarts=2)
+    clusters.save("file:" + os.path.join(tmp, "km"))
+    fallback, supervised = load_detector_model(os.path.join(tmp, "none"), "file:" + os.path.join(tmp, "km"))
+    assert not supervised and fallback.scaler == clusters.scaler
+    key = ["window_id", "src_ip", "cluster"]
+    assert sorted(map(tuple, fallback.clusters(flows).select(*key).collect())) == sorted(map(tuple, flagged.select(*key).collect()))
+    raw = packets_from_events(spark, SF001)
+    assert sorted(map(tuple, alerts(raw, Detector(model=fallback)).collect())) == sorted(map(tuple, alerts(raw).collect()))
+    assert alerts(raw, Detector(model=loaded)).filter("confidence > 0").count() > 0
 
 
 def test_column_profile(spark):
