@@ -272,10 +272,17 @@ SELECT frame_no, ts_us, src_ip, dst_ip, protocol FROM packets WHERE protocol NOT
 
 def _profile(s, sf):
     from flowwatch.operators.profile import column_profile
-    return column_profile(_raw(s, sf))
+    lists = [F.array_join(c, "|").alias(c) for c in ("first_values", "distinct_values")]
+    return column_profile(_raw(s, sf)).select("column", "dtype", "rows", *lists)
 
 
-register("column_profile")(_profile)
+register("column_profile", W(O.PACKETS) + " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", 'string' AS dtype, (SELECT count(*) FROM packets) AS rows,
+  (SELECT string_agg(v, '|' ORDER BY frame_no) FROM
+     (SELECT {c} AS v, frame_no FROM packets WHERE {c} IS NOT NULL ORDER BY frame_no LIMIT 20) f) AS first_values,
+  (SELECT string_agg(coalesce(v, 'nan'), '|' ORDER BY o) FROM
+     (SELECT {c} AS v, min(frame_no) AS o FROM packets GROUP BY {c} ORDER BY o LIMIT 15) d) AS distinct_values"""
+    for c in ("syn", "ack", "fin", "rst")))(_profile)
 
 
 # C11 and C17 on values that need them (flow features are never null or infinite)

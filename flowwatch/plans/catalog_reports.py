@@ -208,7 +208,8 @@ def _p(x, d):
     return f"printf('%.{d}f', cast({x} AS double))"
 
 
-register("notice_text", W(*ALERTS_LISTS, NOTICES) + f"""
+TEXTS = f"""
+texts AS (
 SELECT window_id, source_ip, concat('{C.NOTICE_SUBJECT_PREFIX}', source_ip) AS subject,
   concat('{C.NOTICE_TITLE}', chr(10), '{"=" * len(C.NOTICE_TITLE)}', chr(10),
     'Timestamp      : ', {O.clock('window_start_us')}, chr(10),
@@ -219,13 +220,24 @@ SELECT window_id, source_ip, concat('{C.NOTICE_SUBJECT_PREFIX}', source_ip) AS s
     'SYN/ACK Ratio  : ', {_p('sar', 2)}, chr(10),
     'Total Bytes    : ', cast(total_bytes AS varchar), chr(10),
     'Confidence     : ', {_p('confidence * 100', 1)}, '%', chr(10)) AS body
-FROM notices""")(_text)
+FROM notices)"""
+register("notice_text", W(*ALERTS_LISTS, NOTICES, TEXTS) + "SELECT * FROM texts")(_text)
 
 
-def _outbox(s, sf):
-    cfg = {"email": {"enabled": True, "from_addr": "ids@example.org", "to_addrs": ["soc@example.org"]},
-           "discord": {"enabled": True}, "slack": {"enabled": False}}
-    return notify.outbox(_scored(s, sf, lists=True), cfg).select("window_id", "source_ip", "channel", "payload")
+OUTBOX_CFG = {"email": {"enabled": True, "from_addr": "ids@example.org", "to_addrs": ["soc@example.org", "duty@example.org"]},
+              "discord": {"enabled": True}, "slack": {"enabled": True}}
 
 
-register("notice_outbox")(_outbox)
+def _outbox(s, sf):
+    return notify.outbox(_scored(s, sf, lists=True), OUTBOX_CFG).select("window_id", "source_ip", "channel", "payload")
+
+
+register("notice_outbox", "WITH RECURSIVE " + W(*ALERTS_LISTS, NOTICES, TEXTS, ALERT_THROTTLE)[5:] + f"""
+SELECT i AS window_id, k AS source_ip, channel, cast(CASE channel
+  WHEN 'email' THEN json_object('From', '{OUTBOX_CFG["email"]["from_addr"]}', 'To', '{", ".join(OUTBOX_CFG["email"]["to_addrs"])}',
+    'Subject', subject, 'body', body)
+  WHEN 'discord' THEN json_object('username', '{C.NOTICE_SENDER}', 'embeds', json_array(json_object('title', subject,
+    'description', concat('```', chr(10), body, chr(10), '```'), 'color', {C.NOTICE_COLOR})))
+  ELSE json_object('text', concat('*', subject, '*', chr(10), '```', chr(10), body, chr(10), '```')) END AS varchar) AS payload
+FROM thr JOIN texts ON i = window_id AND k = source_ip, (VALUES {", ".join(f"('{c}')" for c in C.CHANNELS)}) c(channel)
+WHERE kept""")(_outbox)
