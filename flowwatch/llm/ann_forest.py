@@ -91,8 +91,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id",
 
     def search(ids: np.ndarray, x: np.ndarray, asked: pd.DataFrame) -> tuple[np.ndarray, ...]:
         q, q_ids = np.stack(asked["q_v"]), asked["q_vec_id"].to_numpy()
-        # scaled first: norms neither overflow nor vanish
-        x, q = (a / np.abs(a).max(axis=1, keepdims=True) for a in (x, q))
+        # scaled by powers of two first, which is exact: norms neither overflow nor vanish
+        x, q = (np.ldexp(a, -np.frexp(np.abs(a).max(axis=1, keepdims=True))[1]) for a in (x, q))
         norms, q_norms = (np.sqrt((a * a).sum(axis=1)) for a in (x, q))
         forest = Forest(x / norms[:, None])
         enough = max(least, int(share * len(ids)))

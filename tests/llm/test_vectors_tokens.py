@@ -52,7 +52,6 @@ def product(a, b):
 
 
 def cosine(a, b):
-    a, b = a / np.abs(a).max(), b / np.abs(b).max()
     return float((b * a).sum() / (np.sqrt((b * b).sum()) * np.sqrt((a * a).sum())))
 
 
