@@ -323,12 +323,12 @@ def _protocol_drill_down(s, sf):
     from flowwatch.sources.tables import read_protocol_table
     path = os.path.join(ensure_checkpoint_dir(s), f"protocols-{uuid.uuid4().hex}")
     write_protocol_breakdown(protocol_breakdown(_pk(s, sf)), path, 0)
-    return protocol_mix(read_protocol_table(s, path, "10.0.0.3"), "10.0.0.3")
+    return protocol_mix(read_protocol_table(s, path, "10.0.0.9"), "10.0.0.9")
 
 
 register("protocol_drill_down", W(*CLEAN_CTES, O.WINDOWS) + f"""
 SELECT protocol, count(*) AS pkts FROM pk
-WHERE src_ip = '10.0.0.3' AND NOT {O.blank('protocol')} AND window_id IN (SELECT window_id FROM gate) GROUP BY protocol""")(
+WHERE src_ip = '10.0.0.9' AND NOT {O.blank('protocol')} AND window_id IN (SELECT window_id FROM gate) GROUP BY protocol""")(
     _protocol_drill_down)
 
 

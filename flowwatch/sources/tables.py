@@ -11,6 +11,11 @@ from flowwatch import config as C
 from flowwatch.functions import coerce_numeric, scrub
 
 
+ALERT_LOG = ("window_id bigint, window_start_us bigint, timestamp string, source_ip string, packets_per_sec double, "
+             "avg_window_size double, syn_ack_ratio double, total_bytes bigint, traffic_profile string, threat_level string, "
+             "confidence double")
+
+
 def read_ip_list(spark: SparkSession, path: str | None, strip_inline_comments: bool = True) -> DataFrame:
     """A3: one address per line; blanks and ``#`` lines dropped; de-duplicated.
 
@@ -53,10 +58,11 @@ def read_benchmark_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_alert_log(spark: SparkSession, path: str) -> DataFrame:
-    """A6 + B5: alert table tolerant of the older schema without ``confidence``."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
-    if "confidence" not in df.columns:
-        df = df.withColumn("confidence", F.lit(0.0))
+    """A6 + B5: alert table tolerant of the older schema without ``confidence``.
+
+    The schema is given, so no footer is read to plan; a file without the column
+    gives nulls, which read as 0."""
+    df = spark.read.schema(ALERT_LOG).parquet(path)
     return df.withColumn("confidence", F.coalesce(F.col("confidence"), F.lit(0.0)))
 
 
