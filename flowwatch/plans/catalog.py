@@ -227,12 +227,12 @@ from flowwatch.functions import coerce_numeric  # noqa: E402  (used by lambdas a
 
 
 def queries() -> dict[str, Query]:
-    from flowwatch.plans import catalog_learning, catalog_reports  # noqa: F401  (register more)
+    from flowwatch.plans import catalog_io, catalog_learning, catalog_reports  # noqa: F401  (register more)
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    from flowwatch.plans import catalog_learning, catalog_reports  # noqa: F401
+    from flowwatch.plans import catalog_io, catalog_learning, catalog_reports  # noqa: F401
     return dict(_SQL)
 
 
