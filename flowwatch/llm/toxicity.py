@@ -114,16 +114,18 @@ class LabelModel:
     def __init__(self, rounds: int = 25, smooth: float = 0.5):
         self.rounds, self.smooth = rounds, smooth
 
-    def fit(self, votes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Posterior of the class after EM from the posteriors ``first``; votes in -1, 0, 1."""
+    def fit(self, votes: np.ndarray, first: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+        """Posterior of the class after EM from the posteriors ``first``; votes in -1, 0, 1;
+        ``count``: texts that each row stands for."""
         n, k = votes.shape
+        count = np.ones(n) if count is None else count.astype(np.float64)
         hot = (votes[:, :, None] == np.array([-1, 0, 1])).reshape(n, 3 * k).astype(np.float32)
         post = first.astype(np.float64)
         for step in range(self.rounds):
-            joint = [self._joint(hot, w) for w in (1 - post, post)]
+            joint = [self._joint(hot, w * count) for w in (1 - post, post)]
             if step % 5 == 0:
                 self.parent = self._tree(joint, k)
-            prior = min(max(post.mean(), 1e-3), 1 - 1e-3)
+            prior = min(max((post * count).sum() / count.sum(), 1e-3), 1 - 1e-3)
             score = np.zeros((n, 2))
             for y in (0, 1):
                 score[:, y] = math.log(prior if y else 1 - prior)
@@ -245,8 +247,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
     """Fits on at most ``bound`` labelled rows, none of them held out.
 
-    The votes of the sample (bound x about 110 bytes) go to the driver for the
-    label model; the classifier is fitted on Spark.  Without both kinds of
+    The sample's distinct rows of votes (at most bound x about 110 bytes) go to the
+    driver for the label model; the classifier is fitted on Spark.  Without both kinds of
     labels the model is a fixed one over the plain insults."""
     python_tasks(docs.sparkSession)
     sample = labelled_sample(docs, labels, bound)
@@ -264,12 +266,13 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
 
     voted = stored(sample.mapInPandas(vote, "toxic int, votes binary, x array<double>"), "votes")
     # equal votes and labels are one row of the model, with their number
-    rows = voted.select("toxic", "votes").toPandas()
+    rows = voted.groupBy("toxic", "votes").count().orderBy("toxic", "votes").toPandas()
     given = rows["toxic"].to_numpy().astype(np.int8)
     votes = np.frombuffer(b"".join(rows["votes"]), np.int8).reshape(len(rows), -1)
     used = np.flatnonzero((votes != 0).any(axis=0))
-    post = LabelModel().fit(np.column_stack([votes[:, used], 2 * given - 1]), np.where(given == 1, 0.95, 0.05))
-    found = pd.DataFrame({"toxic": given.astype(np.int32), "votes": rows["votes"], "p": post}).groupby(["toxic", "votes"], as_index=False).first()
+    post = LabelModel().fit(np.column_stack([votes[:, used], 2 * given - 1]), np.where(given == 1, 0.95, 0.05),
+                            rows["count"].to_numpy())
+    found = pd.DataFrame({"toxic": given.astype(np.int32), "votes": rows["votes"], "p": post})
     spark = docs.sparkSession
     p = spark.createDataFrame(found, "toxic int, votes binary, p double")
     train = voted.join(F.broadcast(p), ["toxic", "votes"]).select(
