@@ -8,6 +8,11 @@ are found by binary search.  A query descends all trees to the longest shared
 prefixes and then ascends in all of them at the same time, a letter at a step,
 until enough candidates are gathered; these are compared exactly.
 
+Strings are taken from unit vectors minus their block's mean, as a direction that
+all share says nothing about nearness.  How many candidates are enough is measured:
+a sample of the queries is also compared with the whole block, and the number is
+doubled until the forest finds nearly all of their nearest (at last, all rows).
+
 The forest is built per block of vectors, in the task that a block of queries
 visits, so no array grows with the table.
 """
@@ -21,10 +26,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowwatch.llm.common import stored
 from flowwatch.llm.vectors import best, blocked_search, ranked, usable
 
-#: trees, letters of a string, and candidates at which the ascent ends: a share of the
-#: block's vectors, and at least so many
+#: trees, letters of a string, and candidates at which the ascent ends, to begin with: a
+#: share of the block's vectors, and at least so many
 TREES, LETTERS, SHARE, LEAST, SEED = 56, 4, 0.1, 512, 11
 BLOCK, QUERY_BLOCK = 8192, 4096
+#: queries of a block that are compared with all rows, and the part of their nearest to be found
+SAMPLE, FOUND = 64, 0.93
 
 
 class Forest:
@@ -35,7 +42,7 @@ class Forest:
         self.letters = min(letters, self.d)
         rng = np.random.default_rng([seed, self.d])
         self.turns = [np.linalg.qr(rng.normal(size=(self.d, self.d)))[0] for _ in range(trees)]
-        self.n = len(x)
+        self.n, self.centre = len(x), x.mean(axis=0)
         self.trees = []
         for turn in self.turns:
             s = self.strings(x, turn)
@@ -44,7 +51,7 @@ class Forest:
 
     def strings(self, x: np.ndarray, turn: np.ndarray) -> np.ndarray:
         """Strings as numbers, in the order of the strings."""
-        y = x @ turn
+        y = (x - self.centre) @ turn
         size = np.abs(y)
         top = np.argsort(-size, axis=1, kind="stable")[:, :self.letters]
         letter = 2 * top + (np.take_along_axis(y, top, axis=1) > 0)
@@ -77,6 +84,16 @@ class Forest:
                 yield np.arange(self.n)
 
 
+def least_copies(x: np.ndarray, k: int) -> np.ndarray:
+    """Places, ascending, of the rows that are among the first k equal ones."""
+    if not len(x):
+        return np.arange(0)
+    group = np.unique(x, axis=0, return_inverse=True)[1].reshape(-1)
+    order = np.argsort(group, kind="stable")
+    first = np.searchsorted(group[order], group[order])
+    return np.sort(order[np.arange(len(x)) - first < k])
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
             share: float = SHARE, least: int = LEAST, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest found of each row that meets ``queries`` (a condition on ``vec_id``):
@@ -94,15 +111,31 @@ def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id",
         # scaled by powers of two first, which is exact: norms neither overflow nor vanish
         x, q = (np.ldexp(a, -np.frexp(np.abs(a).max(axis=1, keepdims=True))[1]) for a in (x, q))
         norms, q_norms = (np.sqrt((a * a).sum(axis=1)) for a in (x, q))
-        forest = Forest(x / norms[:, None])
-        enough = max(least, int(share * len(ids)))
-        out = []
-        for i, near in enumerate(forest.candidates(q / q_norms[:, None], enough)):
+        # a query's k nearest hold no more than the first k of equal vectors, besides itself
+        few = least_copies(x, k + 1)
+        ids, x, norms = ids[few], x[few], norms[few]
+        forest, unit = Forest(x / norms[:, None]), q / q_norms[:, None]
+
+        def compared(i: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             near = near[ids[near] != q_ids[i]]
             # row by row, so that equal vectors have equal scores
             score = (x[near] * q[i]).sum(axis=1) / (norms[near] * q_norms[i])
             top = best(ids[near], score, k)
-            out.append((np.full(len(top), q_ids[i]), ids[near[top]], score[top]))
+            return ids[near[top]], score[top]
+
+        enough = max(least, int(share * len(ids)))
+        tried = np.unique(np.linspace(0, len(q) - 1, min(len(q), SAMPLE)).astype(int))
+        if enough < len(ids):
+            true = [compared(i, np.arange(len(ids)))[0] for i in tried]
+        while enough < len(ids):
+            got = [compared(i, near)[0] for i, near in zip(tried, forest.candidates(unit[tried], enough))]
+            if sum(np.isin(t, g).sum() for t, g in zip(true, got)) >= FOUND * sum(map(len, true)):
+                break
+            enough *= 2
+        out = []
+        for i, near in enumerate(forest.candidates(unit, enough)):
+            found_ids, score = compared(i, near)
+            out.append((np.full(len(score), q_ids[i]), found_ids, score))
         return tuple(np.concatenate(c) for c in zip(*out))
 
     found = blocked_search(rows, rows.filter(queries), search, "double", k, block, query_block)

@@ -115,6 +115,36 @@ def test_forest_recall(spark):
     assert all(600 <= len(n) < 3000 for n in near)
 
 
+@pytest.mark.parametrize("kind", ["offset", "twice the offset", "clusters", "a third copies"])
+def test_forest_recall_of_vectors_alike(spark, kind):
+    r = np.random.default_rng(6)
+    n, d = 6000, 64
+    x, common = r.normal(size=(n, d)), r.normal(size=d)
+    if kind == "clusters":
+        x = r.normal(size=(3, d))[r.integers(3, size=n)] + 0.3 * x
+    else:
+        x += common * (2 if kind == "twice the offset" else 1)
+    if kind == "a third copies":
+        x[r.permutation(n)[:n // 3]] = x[3]
+    x = x.astype(np.float32)
+    got = ann_forest.nearest(vectors(spark, [(i, v.tolist(), *[None] * 6) for i, v in enumerate(x)]), F.col("vec_id") % 50 == 0, 5).collect()
+    x = x.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    scores = {}
+    for g in got:
+        scores.setdefault(g.query_id, []).append(g.score)
+    hits = 0
+    for i in range(0, n, 50):
+        fifth = np.sort(np.delete(x @ x[i], i))[-5]
+        hits += sum(s >= fifth - 1e-9 for s in scores[i])
+    assert hits / (5 * n / 50) >= 0.9
+
+
+def test_least_copies():
+    x = np.array([[1.0, 2], [0, 0], [1, 2], [1, 2], [-0.0, 0], [3, 4], [1, 2]])
+    assert ann_forest.least_copies(x, 2).tolist() == [0, 1, 2, 4, 5]
+
+
 def test_vectors_empty(spark):
     v = vectors(spark, [])
     assert ann_forest.nearest(v, F.col("vec_id") % 50 == 0, 5).count() == 0
