@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cached_property
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -23,30 +24,100 @@ from flowwatch.llm.common import python_tasks
 # Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Templates of license notices, by label.
+# Wording that several short licenses share.
+_N = "<<beginOptional>><<var;name=number;match={}>><<endOptional>> "
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+    "is furnished to do so")
+_MIT_CONDITION = (
+    ", subject to the following conditions: The above copyright notice and this permission notice "
+    "<<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the Software. ")
+_MIT_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;name=holder;match=.{1,15}>> BE "
+    "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE")
+_BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: " + _N.format("1|a|i") + "Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. " + _N.format("2|b|ii") + "Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
+    "the distribution. ")
+_BSD_ADVERTISING = _N.format("3|c|iii") + (
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+    "This product includes software developed by <<var;name=holder;match=.{1,20}>> ")
+_BSD_NAMES = _N.format("3|4|c|d|iii|iv") + (
+    "Neither the <<var;name=names;match=name|names>> of <<var;name=holder;match=.{1,15}>> nor the names of <<beginOptional>>"
+    "<<var;name=whose;match=its|their|any>> <<endOptional>>contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. ")
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY <<var;name=holder;match=.{1,15}>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "<<var;name=holder;match=.{1,15}>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE")
+_ISC_GRANT = ("Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or "
+              "without fee is hereby granted")
+_ISC_CONDITION = ", provided that the above copyright notice and this permission notice appear in all copies"
+_ISC_WARRANTY = (
+    ". THE SOFTWARE IS PROVIDED \"AS IS\" AND <<var;name=holder;match=.{1,15}>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+    "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name=holder;match=.{1,15}>> BE LIABLE FOR "
+    "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE "
+    "OF THIS SOFTWARE")
+_UNDER = "<<var;name=verb;match=released|licensed|distributed|available>> under the <<beginOptional>>terms of the <<endOptional>>"
+_FREE = "is free software: you can redistribute it and/or modify it under the terms of the GNU "
+
+# Templates by label.  A -notice is a sentence or file header that grants a license; a
+# -text is the whole license, from its first to its last term.  Copyright lines, titles and
+# appendices lie outside of the stretch and may be any.
 TEMPLATES = {
-    "mit-notice": "<<var;name=verb;match=released|licensed|distributed|available>> under the "
-                  "<<beginOptional>>terms of the <<endOptional>>MIT License",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-                "associated documentation files <<beginOptional>>(the \"Software\")<<endOptional>>, to deal in the Software "
-                "without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-                "distribute, sublicense, and/or sell copies of the Software",
-    "apache-2.0-notice": "<<var;name=verb;match=released|licensed|distributed|available>> under the "
-                         "<<beginOptional>>terms of the <<endOptional>>Apache License<<beginOptional>>, Version 2.0<<endOptional>>",
+    "mit-notice": _UNDER + "MIT License",
+    "mit-text": _MIT_GRANT + _MIT_CONDITION + _MIT_WARRANTY,
+    "mit-0-text": _MIT_GRANT + ". " + _MIT_WARRANTY,
+    "json-text": _MIT_GRANT + _MIT_CONDITION + "The Software shall be used for Good, not Evil. " + _MIT_WARRANTY,
+    "apache-2.0-notice": _UNDER + "Apache License<<beginOptional>>, Version<<endOptional>> 2.0",
     "gpl-notice": "<<beginOptional>><<var;name=work;match=.{1,3}>> is <<endOptional>>"
                   "<<var;name=verb;match=released|licensed|distributed>> under the <<beginOptional>>terms of the "
                   "<<endOptional>><<beginOptional>>GNU <<endOptional>>General Public License"
                   "<<beginOptional>>, version <<var;name=version;match=1|2|3>><<endOptional>>",
-    "gpl-text": "This program is free software<<beginOptional>>: <<endOptional>><<beginOptional>>; <<endOptional>>you can "
-                "redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
-                "Free Software Foundation",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-                "that the following conditions are met",
+    "gpl-header-notice": _FREE + "General Public License as published by the Free Software Foundation",
+    "lgpl-notice": _UNDER + "<<beginOptional>>GNU <<endOptional>><<var;name=kind;match=lesser|library>> General Public License",
+    "lgpl-header-notice": _FREE + "<<var;name=kind;match=lesser|library>> General Public License as published by the Free "
+                                  "Software Foundation",
+    "agpl-notice": _UNDER + "<<beginOptional>>GNU <<endOptional>>Affero General Public License",
+    "agpl-header-notice": _FREE + "Affero General Public License as published by the Free Software Foundation",
+    "mpl-2.0-notice": _UNDER + "Mozilla Public License<<beginOptional>>, <<var;name=word;match=version|v>><<endOptional>> 2.0",
+    "mpl-2.0-header-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+                             "was not distributed with this file, You can obtain one at <<var;name=scheme;match=http|https>>"
+                             "://<<beginOptional>>www.<<endOptional>>mozilla.org/MPL/2.0/",
+    "bsd-2-clause-text": _BSD_GRANT + _BSD_WARRANTY,
+    "bsd-3-clause-text": _BSD_GRANT + _BSD_NAMES + _BSD_WARRANTY,
+    "bsd-4-clause-text": _BSD_GRANT + _BSD_ADVERTISING + _BSD_NAMES + _BSD_WARRANTY,
+    "isc-notice": _UNDER + "ISC License",
+    "isc-text": _ISC_GRANT + _ISC_CONDITION + _ISC_WARRANTY,
+    "0bsd-text": _ISC_GRANT + _ISC_WARRANTY,
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software "
+        "dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+        "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+        "relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "
+        "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+        "USE OR OTHER DEALINGS IN THE SOFTWARE"),
     "cc-notice": "<<var;name=verb;match=released|licensed|distributed|available>> under <<beginOptional>>the terms of "
                  "<<endOptional>><<beginOptional>>the <<endOptional>><<beginOptional>>a <<endOptional>>CC BY"
                  "<<beginOptional>>-NC<<endOptional>><<beginOptional>>-<<var;name=clause;match=sa|nd>><<endOptional>> "
                  "<<var;name=version;match=1|2|3|4>>.<<var;name=minor;match=0|5>>",
 }
+# Long licenses, from their files: <label>.txt is the template <label>-text.
+TEMPLATES |= {f"{p.stem}-text": p.read_text() for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
 
 # What parts words from each other, over the bytes of a text.
 _PARTING = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -150,6 +221,10 @@ class Template:
 
     def pattern(self) -> str:
         """The same language as a regular expression over words each led by a space."""
+        return self._pattern
+
+    @cached_property
+    def _pattern(self) -> str:
         out = []
         for n, part in enumerate(_TAG.split(self.markup)):
             if n % 2 == 0:
@@ -191,7 +266,7 @@ def scan_documents(docs: DataFrame, templates: dict[str, str] | None = None,
     """Per row of ``docs``: doc_id, n_words, n_base (places of base phrases), first_word and
     last_word (smallest and largest start of those, from 0, else null), base_labels, labels
     (base ones and those of accepted templates; both distinct, sorted, comma-joined), score
-    (1: a template's mandatory wording is there in full; 0.5: only a base phrase; 0: neither)
+    (1: a template's mandatory wording, of a notice or a whole license, is there in full; 0.5: only a base phrase; 0: neither)
     and stretches (label, start, end in words) of accepted templates.
 
     Null and empty texts have no words and no labels (empty strings).  Rows without

@@ -303,6 +303,42 @@ def test_template_language():
     assert min(seen[True], seen[False]) > 500
 
 
+def fill(markup):
+    """A text of the template: optional regions stay, replaceable ones get a word."""
+    return re.sub("<<(?:begin|end)Optional>>", "", re.sub(r"<<var;name=\w+;match=(?:\.\{\d+,\d+\}|(\w+)[^>]*)>>", lambda m: m[1] or "Someone", markup))
+
+
+def test_license_texts_are_whole():
+    ts = [licenses.Template(k, v) for k, v in licenses.TEMPLATES.items()]
+
+    def texts(text):
+        return [x for x in licenses.scan(text.encode(), ts, {})[5].split(",") if x.endswith("-text")]
+
+    whole = {k: fill(v) for k, v in licenses.TEMPLATES.items() if k.endswith("-text")}
+    assert {"mit-text", "mit-0-text", "json-text", "bsd-2-clause-text", "bsd-3-clause-text", "bsd-4-clause-text", "isc-text", "0bsd-text",
+            "unlicense-text", "apache-2.0-text", "mpl-2.0-text", "gpl-2.0-text", "gpl-3.0-text", "lgpl-2.1-text", "lgpl-3.0-text"} <= set(whole)
+    for label, text in whole.items():
+        words = text.split()
+        assert texts(f"Copyright (c) 2020 Someone. All rights reserved.\n\n{text}\n\nother text") == [label]
+        assert texts(" ".join(words[:-1])) == []                                # a prefix is not the license
+        for n in range(1, 8):                                                   # nor are altered terms, wherever they are
+            at = len(words) * n // 8
+            assert texts(" ".join([*words[:at], *["only as agreed"] * 10, *words[at:]])) == []
+
+
+def test_license_versions_and_notices():
+    ts = [licenses.Template(k, v) for k, v in licenses.TEMPLATES.items()]
+    for text, labels in {
+            "Licensed under the Apache License, Version 1.1": "apache", "licensed under the Apache License": "apache",
+            "Licensed under the Apache License 2.0": "apache,apache-2.0-notice",
+            "distributed under the GNU Lesser General Public License": "gpl,lgpl-notice",
+            "licensed under the GNU Affero General Public License": "agpl-notice,gpl", "available under the ISC license": "isc-notice",
+            "released under the Mozilla Public License, v. 2.0": "mpl-2.0-notice",
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+            "published by the Free Software Foundation": "gpl,gpl-header-notice"}.items():
+        assert licenses.scan(text.encode(), ts, licenses.PHRASES)[5] == labels
+
+
 def test_license_rows(spark, odd_docs, odd_rows, empty_docs):
     docs = spark.createDataFrame([
         (1, "Released under the MIT License."), (2, "the MIT\n\tLicense, MIT-license"), (3, None), (4, ""),
