@@ -187,14 +187,23 @@ class Encoder:
     The vocabulary's pattern never joins a space that is followed by a
     non-space to what is before it, so a text is cut before every such space.
     Pieces are encoded once and remembered in a bounded memo; new ones are
-    encoded many at a time and told apart by their leading spaces."""
+    encoded many at a time and told apart by their leading spaces.
+
+    Strings of added tokens in a text ("<|endoftext|>") are those tokens, as the
+    library has it; what lies between them is encoded by itself."""
 
     def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items() if t.content}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.parting = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
+        # tokens that also take or ask for something around them are left to the library
+        self.plain = all(not (t.lstrip or t.rstrip or t.single_word or " " in t.content or (t.normalized and self.tokenizer.normalizer))
+                         for t in added.values())
         vocab = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
@@ -223,6 +232,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids (u32) of whole texts."""
+        if not self.plain:
+            return [e.tobytes() for e in self._encode(texts)]
+        if self.parting is None:
+            return self._between(texts)
+        parts = [self.parting.split(t) for t in texts]          # every second one is an added token
+        between = iter(self._between([x for p in parts for x in p[::2]]))
+        return [b"".join([self.added[x] if n % 2 else next(between) for n, x in enumerate(p)]) for p in parts]
+
+    def _between(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens."""
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo

@@ -210,6 +210,30 @@ def test_encoder_equals_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
 
 
+def test_added_tokens_as_in_the_library(spark):
+    from tokenizers import Tokenizer
+    path = vocabulary("byte_bpe_50k.json")
+    t, e, end = Tokenizer.from_file(path), token_store.Encoder(path), "<|endoftext|>"
+    texts = ["a <|endoftext|> b", end, end * 3, f" {end} ", f"a  {end}b  {end}", f"a\n {end}\n\nb", "<|endoftext", f"<{end}|>", f"'{end}s", ""]
+    texts += odd_texts(7, 2000, [" ", "  ", "\n", "a", "'s", ".", "\t", "é", "word", end, f" {end}", f"  {end} ", "<|", "|>"])
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+    got = token_store.token_report(spark.createDataFrame(list(enumerate(texts[:10])), "doc_id long, text string"), path).collect()
+    assert {g.doc_id: (g.n_tokens, g.ids_crc32) for g in got} == {
+        d: (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for d, ids in enumerate(want[:10])}
+
+
+def test_added_tokens_with_flags(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+    t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    t.add_tokens([AddedToken("<cut>", lstrip=True), AddedToken("two words")])
+    t.save(str(tmp_path / "t.json"))
+    texts = odd_texts(8, 500, [" ", "a", "two", "words", "two words", " <cut>", "<cut>", "<|endoftext|>", "\n"])
+    got = token_store.Encoder(str(tmp_path / "t.json")).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 # ---- SentencePiece
 
 @pytest.fixture(scope="module")
