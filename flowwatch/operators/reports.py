@@ -7,7 +7,7 @@ distributed top-k (``TakeOrderedAndProject``), never a full sort to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowwatch import config as C
@@ -154,6 +154,21 @@ def replay_summary(pk: DataFrame, alerts: DataFrame, th: Thresholds = DEFAULT) -
     return _one_row_pair(total_window_count(pk, th), a)
 
 
+#: window ids made from one row
+ID_CHUNK = 4096
+
+
+def window_ids(spark: SparkSession, n: Column) -> DataFrame:
+    """window_id 0 to ``n`` - 1, in chunks dealt to as many tasks as a shuffle has, so that
+    no row or task holds them all (without a number, adaptive execution would merge them)."""
+    size = F.lit(ID_CHUNK).cast("bigint")
+    last = F.floor((n - 1) / size).cast("bigint")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk")).repartition(tasks, "chunk")
+    first = F.col("chunk") * size
+    return chunks.select(F.explode(F.sequence(first, F.least(first + size, n) - 1)).alias("window_id"))
+
+
 def window_progress(spark: SparkSession, pk: DataFrame, alerts: DataFrame,
                     th: Thresholds = DEFAULT) -> DataFrame:
     """Per window id (empty windows included): packets, flows, severe, skipped.
@@ -164,8 +179,7 @@ def window_progress(spark: SparkSession, pk: DataFrame, alerts: DataFrame,
     """
     n = total_window_count(pk, th).scalar()
     zero = F.lit(0).cast("bigint")
-    ids = spark.range(1).select(F.explode(F.sequence(zero, n - 1)).alias("window_id"),
-                                zero.alias("packets"), zero.alias("flows"), zero.alias("severe"))
+    ids = window_ids(spark, n).select("window_id", zero.alias("packets"), zero.alias("flows"), zero.alias("severe"))
     packets = pk.groupBy("window_id").agg(F.count(F.lit(1)).alias("packets")).select(
         "window_id", "packets", zero.alias("flows"), zero.alias("severe"))
     flows = alerts.select("window_id", zero.alias("packets"), F.lit(1).cast("bigint").alias("flows"),

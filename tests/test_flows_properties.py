@@ -113,3 +113,17 @@ def test_rolling_blocks_equal_single_frame(spark):
     for block in (1, 3, 17, 4096):
         got = rolling_state(flows, block_windows=block).select(*cols)
         assert _rows(got) == _rows(ref), block
+
+
+def test_window_ids_are_dealt_to_tasks(spark):
+    from flowwatch.operators import reports
+    size = reports.ID_CHUNK
+    for n in (1, size, size + 1, 20 * size + 7):
+        # the count is a scalar subquery, as in the report
+        count = spark.range(1).select(F.lit(n).cast("bigint").alias("n")).scalar()
+        ids = reports.window_ids(spark, count).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(r.window_id for r in ids) == list(range(n))
+    assert len({r.task for r in ids}) > 1
+    pk = assign_windows(clean_packets(packets_from_events(spark, SF001)))
+    plan = _plan(reports.window_progress(spark, pk, alerts(packets_from_events(spark, SF001))))
+    assert "REPARTITION_BY_NUM" in plan
