@@ -207,7 +207,7 @@ def _proofs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 proofs.append(digest(*[x for pair in own for x in pair]))
                 folded.append(fold(s["changed"], own))
             yield pd.DataFrame({
-                "doc_id": pd.array([s["doc_id"] for s in slots], "Int64"), "leaf": [s["node"] for s in slots], "subroot": subroot, "root": root,
+                "doc_id": [s["doc_id"] for s in slots], "leaf": [s["node"] for s in slots], "subroot": subroot, "root": root,
                 "proof_sha256": proofs, "folded_root": folded, "verified": [f == root for f in folded]})
 
 
@@ -247,8 +247,10 @@ def manifest(docs: DataFrame, changed_text: Column | None = None) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("grp"),
                     leaf(*cols, text).alias("leaf"),
                     (leaf(*cols, text) if changed_text is None else leaf(*cols, changed_text)).alias("changed"))
-    d = d.groupBy("grp", "doc_id", "leaf").agg(F.min("changed").alias("changed"), F.count("*").alias("n"))
-    found = reduced(placed(d).withColumnRenamed("leaf", "node"))
+    # equal leaves are equal rows, so ``changed`` adds no group
+    d = d.groupBy("grp", "doc_id", "leaf", "changed").agg(F.count("*").alias("n"))
+    # ids travel in arrays as text: pandas would make doubles of them beside nulls
+    found = reduced(placed(d).withColumnRenamed("leaf", "node").withColumn("doc_id", F.col("doc_id").cast("string")))
     subroots = in_order(found[-1].select("grp", F.col("node").alias("subroot")))
     # the tree over the languages is one group
     over = reduced(subroots.select(F.lit("").alias("grp"), "slot", "total", F.col("subroot").alias("node"), F.col("grp").alias("name")))
@@ -267,7 +269,8 @@ def manifest(docs: DataFrame, changed_text: Column | None = None) -> DataFrame:
 
     langs = stored(over[0].join(last, ["grp", "key"]).mapInPandas(named, f"grp string, subroot string, root string, path {_PATH}"), "languages")
     return found[0].join(paths(found, langs), ["grp", "key"]).mapInPandas(
-        _proofs, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+        _proofs, "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
+    ).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def manifest_report(docs: DataFrame) -> DataFrame:
