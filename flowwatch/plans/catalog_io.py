@@ -16,7 +16,7 @@ from flowwatch.plans.catalog import ALERTS_LISTS, ALERTS_PLAIN, CLEAN_CTES, W, _
 from flowwatch.plans.catalog_learning import BENCH, BENCH_PAIR, BIN, LAB, _benchmark_csv_frame
 from flowwatch.session import ensure_checkpoint_dir
 from flowwatch.sinks.writers import export_csv, write_clean_packets
-from flowwatch.sources.packets import RAW_ORDER, read_packets_csv
+from flowwatch.sources.packets import DAMAGED, ENCODING, HEADER, RAW_ORDER, UNREADABLE, packet_files, packets_of_files, read_packets_csv
 from flowwatch.sources.tables import read_benchmark_csv, read_ip_list
 
 
@@ -42,6 +42,31 @@ register("packets_csv", W(O.PACKETS) + "SELECT ts_us, " + ", ".join(
     f"nullif(cast({c} AS varchar), '') AS {c}" for c in C.RAW_COLUMNS[1:]) + " FROM packets")(_packets_csv)
 
 
+def _packets_csv_bad(s, sf):
+    """A folder in which half of the packets lie in files of 14 columns and some text is not UTF-8: the other
+    half is read, the bad files are named, and a reader of whole files gets the same."""
+    path = _folder(s, "packets-bad")
+    raw = _raw(s, sf)
+    time = (F.col("ts_us").cast("decimal(20,0)") / 1_000_000).cast("decimal(20,6)").cast("string")
+    out = raw.select("frame_no", time.alias(C.PACKET_FIELDS[0]), *[F.col(c).cast("string").alias(f) for c, f in zip(RAW_ORDER[2:], C.PACKET_FIELDS[1:])])
+    for rows, cols in ((out.filter("frame_no % 2 = 0"), C.PACKET_FIELDS), (out.filter("frame_no % 2 <> 0"), C.PACKET_FIELDS[:-1])):
+        (rows.select(*[F.col(f"`{c}`") for c in cols]).write.mode("append").option("header", True).option("quoteAll", True)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("nullValue", "").csv(path))
+    odd = F.unhex(F.lit("22FF22" + "2C2230" * 14)).cast("string")
+    raw.filter("frame_no % 5 = 0").select(odd.alias("value")).write.mode("append").text(path)
+    files = packet_files(s, path)
+    named = files.agg((F.count_if(F.col("reason") == HEADER) > 0) & (F.count_if(F.col("reason") == ENCODING) > 0)
+                      & (F.count_if(F.col("reason").isin(UNREADABLE, DAMAGED)) == 0)).scalar()
+    one = read_packets_csv(s, path, files).select(*CSV_COLS).withColumn("reader", F.lit("lines"))
+    two = packets_of_files(s.read.text(path, wholetext=True)).select(*CSV_COLS).withColumn("reader", F.lit("files"))
+    return one.unionByName(two).withColumn("bad_files_named", named)
+
+
+register("packets_csv_bad_files", W(O.PACKETS) + "SELECT ts_us, " + ", ".join(
+    f"nullif(cast({c} AS varchar), '') AS {c}" for c in C.RAW_COLUMNS[1:]) + """, reader, true AS bad_files_named
+FROM packets, (VALUES ('lines'), ('files')) r(reader) WHERE frame_no % 2 = 0""")(_packets_csv_bad)
+
+
 def _ip_list(s, sf):
     """A3: a list file with comments, blanks, repeats and notes, read back."""
     path = _folder(s, "list")

@@ -114,33 +114,127 @@ def _to_raw(df: DataFrame) -> DataFrame:
     )
 
 
-def _fields(line: str) -> F.Column:
+def _fields(line) -> F.Column:
     """Number of fields of a CSV line (commas inside quotes do not count)."""
     return F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ",", -1))
 
 
-def read_packets_csv(spark: SparkSession, paths) -> DataFrame:
+#: endings of archives that are read through a codec, and what checks them without Spark
+ARCHIVES = {".gz": "gzip", ".bz2": "bz2", ".deflate": "zlib"}
+#: reasons for which a file is set aside
+UNREADABLE, DAMAGED, ENCODING, HEADER = "no line could be read", "damaged archive", "not UTF-8", "not 15 columns"
+
+
+def archive_is_whole(content: bytes, codec: str) -> bool:
+    """Whether an archive unpacks to its end; unpacked in pieces that are thrown away."""
+    import bz2
+    import zlib
+    def start():
+        return bz2.BZ2Decompressor() if codec == "bz2" else zlib.decompressobj(31 if codec == "gzip" else 15)
+
+    try:
+        unpack, rest = start(), content
+        while True:
+            if codec == "bz2":
+                unpack.decompress(rest, 1 << 20)
+                rest = b""
+                if unpack.eof:
+                    rest = unpack.unused_data
+                elif unpack.needs_input:
+                    return False
+            else:
+                unpack.decompress(rest, 1 << 20)
+                rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+                if not unpack.eof and not rest:
+                    return False
+            if unpack.eof:
+                if not rest.strip(b"\0"):
+                    return True
+                unpack = start()           # archives may follow one another
+    except (OSError, EOFError, ValueError, zlib.error):
+        return False
+
+
+def _damaged_archives(spark: SparkSession, paths) -> DataFrame:
+    """Paths of archives that do not unpack to their end.  Only archives are opened: their contents, packed,
+    go to the tasks one by one."""
+    from collections.abc import Iterator
+    import pandas as pd
+    check = archive_is_whole
+    endings = dict(ARCHIVES)
+    files = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(paths)
+    ending = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
+    files = files.select(F.col("_metadata.file_path").alias("file"), ending.alias("ending"), "content").filter(F.col("ending").isin(*endings))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bad = [p for p, e, c in zip(pdf["file"], pdf["ending"], pdf["content"]) if not check(bytes(c), endings[e])]
+            yield pd.DataFrame({"file": pd.Series(bad, dtype=object)})
+
+    return files.mapInPandas(work, "file string")
+
+
+def packet_files(spark: SparkSession, paths) -> DataFrame:
+    """A2: every file under ``paths`` with the reason for which it is set aside (null: it is read).
+
+    Files listed are held against files read.  A file is set aside whole, as one whose load fails, if
+
+    * none of its lines can be read (it has none, or is gone, or may not be opened; files of no bytes are not listed),
+    * it is an archive that does not unpack to its end,
+    * it holds a line that is not UTF-8, or
+    * its first line has not exactly 15 fields.
+
+    The listing reads no contents, the lines are combined before the shuffle to one row per file, and
+    neither file names nor rows pass through the driver.  Archives of other kinds than gzip, bzip2 and
+    deflate are not checked: a damaged one ends the read with an error.
+    """
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"))
+    lines = (spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"))
+        .withColumn("_n", F.when(F.col("_at") == 0, F.monotonically_increasing_id())))
+    seen = lines.groupBy("file").agg(F.min_by(_fields("value"), "_n").alias("fields"), F.count_if(~F.is_valid_utf8("value")).alias("odd"))
+    damaged = _damaged_archives(spark, paths).withColumn("damaged", F.lit(True))
+    reason = (F.when(F.col("damaged"), F.lit(DAMAGED)).when(F.col("odd").isNull(), F.lit(UNREADABLE))
+              .when(F.col("odd") > 0, F.lit(ENCODING)).when(F.coalesce("fields", F.lit(0)) != len(C.RAW_COLUMNS), F.lit(HEADER)))
+    return listed.join(seen, "file", "left").join(damaged, "file", "left").select("file", reason.alias("reason"))
+
+
+def quarantined_files(spark: SparkSession, paths) -> DataFrame:
+    """A2: the files that :func:`read_packets_csv` sets aside, and why: (file, reason)."""
+    return packet_files(spark, paths).filter("reason is not null")
+
+
+def read_packets_csv(spark: SparkSession, paths, files: DataFrame | None = None) -> DataFrame:
     """A1 + A2 + H6: union of packet-field CSV files in one scan.
 
     * each file's first line is its header, whatever it holds; fields are renamed
       by position and read as text (no inference);
-    * a file is skipped whole only if that line has not exactly 15 fields;
+    * a file that can't be read to its end, or whose header has not exactly 15 fields, is
+      skipped whole and does not end the read; :func:`quarantined_files` names it and says why;
     * data rows: short ones are null-padded, over-long ones are dropped, empty lines
       are skipped; a row whose time is no number is kept with time 0.
 
-    The headers are found by a scan for the first line of each file, combined
-    before the shuffle to one row per file; the data rows are joined to the
-    files that pass, and neither file names nor rows pass through the driver.
+    ``files``: what :func:`packet_files` gives, if it is there already.
     """
-    lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
-    first = (lines.filter("_at = 0").withColumn("_n", F.monotonically_increasing_id())
-             .groupBy("_file").agg(F.min_by("value", "_n").alias("header")))
-    good = first.filter(_fields("header") == len(C.RAW_COLUMNS)).select("_file")
-    rows = csv_reader(spark.read).csv(paths).withColumn("_file", F.col("_metadata.file_path"))
+    good = (packet_files(spark, paths) if files is None else files).filter("reason is null").select(F.col("file").alias("_file"))
+    reader = csv_reader(spark.read).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    rows = reader.csv(paths).withColumn("_file", F.col("_metadata.file_path"))
     return csv_rows(rows.join(good, "_file", "left_semi"))
 
 
+def packets_of_files(files: DataFrame) -> DataFrame:
+    """Raw packets of whole files, rows of ``value``, with the rules of :func:`read_packets_csv`, a file
+    at a time: no state and no join, so that a stream can use it.
+
+    A file is one row, which suits the short slices of a live capture: it must fit in a task."""
+    header = F.substring_index(F.substring_index("value", "\n", 1), "\r", 1)
+    good = files.filter(F.is_valid_utf8("value") & (_fields(header) == len(C.RAW_COLUMNS)))
+    lines = good.select(F.posexplode(F.split("value", "\r\n|\r|\n", -1)).alias("_at", "line")).filter("_at > 0 and line <> ''")
+    options = {"mode": "PERMISSIVE", "quote": '"', "sep": ",", "nullValue": "\u0001", "emptyValue": ""}
+    row = F.from_csv("line", csv_schema().simpleString()[len("struct<"):-1].replace(":", " "), options)
+    return csv_rows(lines.select(row.alias("r")).select("r.*"))
+
+
 def union_packets(*frames: DataFrame) -> DataFrame:
     """H6: UNION ALL of packet frames by column name."""
     out = frames[0].select(*RAW_ORDER)

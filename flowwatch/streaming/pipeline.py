@@ -35,7 +35,7 @@ from flowwatch.operators.rolling import rolling_state
 from flowwatch.plans.pipeline import Detector, score_flows, to_alerts
 from flowwatch.sinks.writers import append_table, write_protocol_breakdown
 from flowwatch.session import path_exists
-from flowwatch.sources.packets import RAW_ORDER, csv_reader, csv_rows
+from flowwatch.sources.packets import RAW_ORDER, packets_of_files
 
 FLOW_KEYS = ["window_id", "src_ip"]
 
@@ -50,12 +50,15 @@ def raw_schema_typed() -> T.StructType:
 
 def packet_stream(spark: SparkSession, path: str, fmt: str = "parquet",
                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Unbounded packet source over a directory of packet files."""
+    """Unbounded packet source over a directory of packet files.
+
+    CSV files are admitted one by one, each whole: a file that can't be read to its end, is not
+    UTF-8 or whose header has not 15 fields gives no rows, as in batch, and does not stop the stream."""
     r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        return csv_rows(csv_reader(r).csv(path))
+        return packets_of_files(r.option("ignoreCorruptFiles", True).text(path, wholetext=True))
     return r.schema(raw_schema_typed()).parquet(path)
 
 
