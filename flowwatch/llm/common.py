@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -44,6 +46,40 @@ def python_tasks(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def lasting(name: str, make: Callable):
+    """What ``make()`` gives, made once in a Python worker and kept for its next tasks: functions travel by
+    value, so variables of this package are new in every task, and only the interpreter's own last."""
+    held = sys.__dict__.setdefault("_flowwatch_kept", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+class Memo:
+    """Answers by question, at most about ``most``, in two generations.
+
+    New answers are young.  When half of ``most`` are young, they become the old ones and the old
+    ones go; an old answer that is asked for again is young again.  So what comes back stays, and
+    the memo is never emptied whole."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def missing(self, questions) -> list:
+        """Questions without an answer; the others are young from now on."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for q in questions:
+            if q not in young:
+                found = old.get(q)
+                if found is None:
+                    out.append(q)
+                else:
+                    young[q] = found
+        return out
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder (removable when the application ends)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowwatch-{name}-{uuid.uuid4().hex}"

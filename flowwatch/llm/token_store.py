@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from flowwatch.llm.common import python_tasks, scratch_path, stored
+from flowwatch.llm.common import Memo, lasting, python_tasks, scratch_path, stored
 
 MAGIC = b"FWPFOR01"
 BLOCK, LANES = 256, 8
@@ -38,7 +38,7 @@ PERCENTILES = (50, 75, 90, 95, 98, 100)
 #: id appended to each document; ids after which a file is closed (at a document's end)
 END_ID, FILE_IDS = 2, 1 << 22
 #: pieces of text whose ids a worker remembers; chars beyond which a piece is not remembered
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 1_000_000, 64
 
 
 # ---- blocks ---------------------------------------------------------------
@@ -186,8 +186,8 @@ class Encoder:
 
     The vocabulary's pattern never joins a space that is followed by a
     non-space to what is before it, so a text is cut before every such space.
-    Pieces are encoded once and remembered in a bounded memo; new ones are
-    encoded many at a time and told apart by their leading spaces.
+    Pieces are remembered in a bounded memo, which a worker keeps from task to
+    task; new ones are encoded many at a time and told apart by their leading spaces.
 
     Strings of added tokens in a text ("<|endoftext|>") are those tokens, as the
     library has it; what lies between them is encoded by itself."""
@@ -208,7 +208,7 @@ class Encoder:
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.spaced[[i for t, i in vocab.items() if t.startswith(space)]] = True
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -242,19 +242,19 @@ class Encoder:
 
     def _between(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without added tokens."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
         pieces = [(_SPACE.split(t) if _ODD_SPACE.search(t) else t.split(" ")) for t in texts]
         new: set[str] = set()
         for p in pieces:
             new.update(p[1:])
-        fresh = self._new([p for p in new if p not in memo])
-        memo.update((p, e) for p, e in fresh.items() if len(p) <= MEMO_CHARS)
-        long = {p: e for p, e in fresh.items() if len(p) > MEMO_CHARS}
-        get = memo.__getitem__ if not long else lambda p: memo[p] if p in memo else long[p]
+        known = self._new(self.memo.missing(new))
+        memo = self.memo.young
+        memo.update(known)
         firsts = [e.tobytes() for e in self._encode([p[0] for p in pieces])]
-        return [a + b"".join(map(get, p[1:])) for a, p in zip(firsts, pieces)]
+        out = [a + b"".join(map(memo.__getitem__, p[1:])) for a, p in zip(firsts, pieces)]
+        for p in known:
+            if len(p) > MEMO_CHARS:
+                del memo[p]
+        return out
 
 
 def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = END_ID) -> DataFrame:
@@ -267,7 +267,7 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = END_I
     python_tasks(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end, enc = np.array([end_id], "<u4").tobytes(), Encoder(vocabulary)
+        end, enc = np.array([end_id], "<u4").tobytes(), lasting(f"encoder {vocabulary}", lambda: Encoder(vocabulary))
         store, folder = _store(out)
         store.create_dir(folder, recursive=True)
         doc_ids: list = []
