@@ -26,11 +26,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowwatch.llm.common import python_tasks
+from flowwatch.llm.common import Memo, lasting, python_tasks
 
 MARK = "▁"
 #: runs that are remembered, the longest of them, and neighbouring pairs that are remembered
-MEMO, MEMO_CHARS, PAIRS = 500_000, 40, 500_000
+MEMO, MEMO_CHARS, PAIRS = 800_000, 40, 500_000
 
 
 #: rank shared by the pieces that are merged last
@@ -69,8 +69,7 @@ class Pieces:
         self.edges: dict[str, tuple | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         # ids of runs after one word mark, and of any others
-        self.marked: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.marked, self.plain = Memo(MEMO), Memo(MEMO // 4)
 
     # ---- which pieces may stand alone, and next to each other
 
@@ -152,7 +151,8 @@ class Pieces:
         tails, pairs, longest = self.tails.get, self.pairs.get, self.longest
         for i in range(done + len(last), upto + 1):
             ends = [text[i - 1]]           # pieces that end here; a single character always may
-            for k in range(i - 2, max(done, i - longest) - 1, -1):
+            low = i - longest if i - longest > done else done
+            for k in range(i - 2, low - 1, -1):
                 p = text[k:i]
                 whole = tails(p)
                 if whole:
@@ -167,9 +167,13 @@ class Pieces:
                     break
             last.append(p)
 
-    def search(self, text: str) -> Iterator[str]:
-        """Pieces of a run, each given out once it is final."""
-        n, done, last = len(text), 0, [""]
+    def search(self, text: str, last: list[str] | None = None) -> Iterator[str]:
+        """Pieces of a run, each given out once it is final.
+
+        ``last`` holds the surviving pieces of the first places, as far as they are known from a run that
+        begins alike, and is left with those of the first window.  A window that reaches the end of the
+        run has one live place, the end, so all paths have met there."""
+        n, done, last = len(text), 0, [""] if last is None else last
         while done < n:
             i = min(n, done + len(last) + self.longest)
             self._extend(last, text, done, i)
@@ -199,32 +203,21 @@ class Pieces:
                 out.append(i)
         return array("I", out).tobytes()
 
-    def _learn(self, memo: dict[str, bytes], runs: set[str], mark: str) -> None:
-        """Puts the ids of new runs into a memo.  Short runs are searched in order: each goes on
-        from the places that it shares with the one before."""
-        last, before = [""], ""
+    def _learn(self, memo: Memo, runs: list[str], mark: str) -> None:
+        """Puts the ids of new runs into a memo.  Runs are searched in order: each goes on from
+        the places that it shares with the first window of the one before."""
+        last, before, known = [""], "", memo.young
         for run in sorted(runs):
             text = mark + run
-            if len(text) > MEMO_CHARS:
-                memo[run] = self._bytes(self.search(text))
-                continue
-            same, n = 0, min(len(before), len(text))
+            same, n = 0, min(len(before), len(text), len(last) - 1)
             while same < n and before[same] == text[same]:
                 same += 1
             del last[same + 1:]
-            self._extend(last, text, 0, len(text))
-            path, at = [], len(text)
-            while at:
-                path.append(last[at])
-                at -= len(path[-1])
-            memo[run] = self._bytes(reversed(path))
+            known[run] = self._bytes(self.search(text, last))
             before = text
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (u32) of whole texts; none for null and empty ones."""
-        if len(self.marked) + len(self.plain) > MEMO:
-            self.marked.clear()
-            self.plain.clear()
         line_end = array("I", [self.byte_ids[10]]).tobytes()
         cut, marked, plain = [], set(), set()
         for t in texts:
@@ -242,15 +235,15 @@ class Pieces:
                         marked.update(rest)
                         lines.append(([first], rest))
             cut.append(lines)
-        self._learn(self.marked, {r for r in marked if r not in self.marked}, MARK)
-        self._learn(self.plain, {r for r in plain if r not in self.plain}, "")
-        one, two = self.plain.__getitem__, self.marked.__getitem__
+        self._learn(self.marked, self.marked.missing(marked), MARK)
+        self._learn(self.plain, self.plain.missing(plain), "")
+        one, two = self.plain.young.__getitem__, self.marked.young.__getitem__
         out = [np.frombuffer(line_end.join([b"".join([*map(one, a), *map(two, b or ())]) for a, b in lines]), "<u4")
                for lines in cut]
         for memo, runs in ((self.marked, marked), (self.plain, plain)):
             for r in runs:
                 if len(r) >= MEMO_CHARS:
-                    memo.pop(r, None)
+                    memo.young.pop(r, None)
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -268,7 +261,7 @@ def encoded(spark, text: Column, vocabulary: str) -> Column:
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = Pieces(vocabulary)
+        model = lasting(f"pieces {vocabulary}", lambda: Pieces(vocabulary))
         for texts in batches:
             yield pd.Series([i.astype(np.int32) for i in model.encode_all(list(texts))], dtype=object)
 
@@ -281,7 +274,7 @@ def decoded(spark, ids: Column, vocabulary: str) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = Pieces(vocabulary)
+        model = lasting(f"pieces {vocabulary}", lambda: Pieces(vocabulary))
         for rows in batches:
             yield pd.Series([None if r is None else model.decode(r.tolist()) for r in rows], dtype=object)
 
@@ -300,7 +293,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     python_tasks(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Pieces(vocabulary)
+        model = lasting(f"pieces {vocabulary}", lambda: Pieces(vocabulary))
         for pdf in batches:
             ids = model.encode_all(list(pdf["text"]))
             yield pd.DataFrame({
