@@ -1,15 +1,16 @@
 """Structured Streaming form of the detection dataflow.
 
-``readStream`` (packet files) -> clean -> watermark -> 2 s window aggregate per
-(window, source) in append mode -> ``foreachBatch``:
-
-* the watermark closes every key of a window in the same micro-batch, so the
-  window gate (blank sources included) is evaluated inside the batch;
-* flow features are derived from the same mergeable moments as in batch
-  (gap moments from the window's sorted times, bounded by 2 s of one source);
-* rolling history (S2) reads the state snapshot of batch ``N - 1``,
-  appends the batch's flows, and writes ``state/batch_id=N`` (last 14 rows per
-  source) by partition overwrite: a retried batch reproduces the same output;
+``readStream`` (packet files) -> clean -> watermark -> counted packets of 2 s
+windows in append mode -> ``foreachBatch``:
+
+* the streaming state holds no lists: it is a counted multiset of packets, keyed by
+  window, source, time, protocol and target, spread over the state store's partitions.
+  The watermark closes every key of a window in the same micro-batch, so a
+  batch holds whole windows and the gate (blank sources included) is evaluated there;
+* in the batch, gap moments come from ``lag`` inside 10 ms sub-buckets and are
+  merged, and distinct targets are counted in two levels, both as in batch;
+* rolling history (S2) is a log of segments (:mod:`flowwatch.streaming.state`): a batch
+  reads the history of the sources it sees and writes theirs only;
 * alerts, protocol counts and the notice outbox are idempotent partition
   overwrites keyed by ``batch_id`` (S5: restart from the checkpoint).
 
@@ -30,15 +31,13 @@ from pyspark.sql import types as T
 from flowwatch.config import DEFAULT, Thresholds
 from flowwatch.functions import is_blank
 from flowwatch.operators.clean import clean_packets
-from flowwatch.operators.flows import _derive, _merge, idiv
+from flowwatch.operators.flows import FLOW_KEYS, SUB_US, _derive, _merge, idiv
 from flowwatch.operators.rolling import rolling_state
 from flowwatch.plans.pipeline import Detector, score_flows, to_alerts
 from flowwatch.sinks.writers import append_table, write_protocol_breakdown
 from flowwatch.session import path_exists
 from flowwatch.sources.packets import RAW_ORDER, packets_of_files
-
-FLOW_KEYS = ["window_id", "src_ip"]
-
+from flowwatch.streaming import state
 
 def raw_schema_typed() -> T.StructType:
     """Raw packet layout as written by :func:`flowwatch.sources.packets.packet_view`."""
@@ -62,50 +61,55 @@ def packet_stream(spark: SparkSession, path: str, fmt: str = "parquet",
     return r.schema(raw_schema_typed()).parquet(path)
 
 
-STREAM_SUB_US = 100_000      # 100 ms: 20 state entries per (window, source) at most
+#: what is summed over equal packets
+_SUMS = ["frame_len", "syn", "ack", "fin", "rst", "ttl", "win"]
+_NAMES = {"frame_len": "sx"}
 
 
-def window_aggregates(raw: DataFrame, th: Thresholds = DEFAULT, watermark: str = "4 seconds",
-                      origin_us: int = 0, sub_us: int = STREAM_SUB_US) -> DataFrame:
-    """Streaming (window, source, sub-bucket, protocol) partials.
+def counted_packets(raw: DataFrame, th: Thresholds = DEFAULT, watermark: str = "4 seconds", origin_us: int = 0) -> DataFrame:
+    """Streaming counted multiset of packets: sums per (window, source, time, protocol, target).
 
-    Packets without a source only count for the gate: their targets and times
-    are not kept.  What a state entry keeps per packet is its time (the gap
-    moment needs their order), bounded by ``sub_us`` of one source; protocols
-    are part of the key, so their counts are sums."""
+    Packets without a source only count for the gate: they are one key a window."""
     clean = clean_packets(raw).filter(F.col("ts_us") > 0)
-    ev = (clean.withColumn("event_time", F.timestamp_micros("ts_us"))
-          .withColumn("_sub", idiv(F.col("ts_us"), sub_us)).withColumn("_blank", is_blank("src_ip")))
-    # one key for all packets without a source
-    ev = (ev.withColumn("src_ip", F.when(~F.col("_blank"), F.col("src_ip")))
-          .withColumn("protocol", F.when(~F.col("_blank"), F.col("protocol"))))
-
-    def known(c: str) -> F.Column:
-        return F.when(~F.col("_blank"), F.col(c))
+    ev = clean.withColumn("event_time", F.timestamp_micros("ts_us")).withColumn("_blank", is_blank("src_ip"))
+    keys = ["src_ip", "ts_us", "protocol", "dst_ip", "dst_port"]
+    for c in keys:
+        ev = ev.withColumn(c, F.when(~F.col("_blank"), F.col(c)))
     offset = origin_us % th.window_us
     win = F.window("event_time", f"{th.window_us} microseconds", startTime=f"{offset} microseconds")
-    agg = ev.withWatermark("event_time", watermark).groupBy(win.alias("w"), "src_ip", "_sub", "protocol").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("frame_len").alias("sx"),
-        F.sum(F.col("frame_len") * F.col("frame_len")).alias("sxx"),
-        F.sum("syn").alias("syn"), F.sum("ack").alias("ack"),
-        F.sum("fin").alias("fin"), F.sum("rst").alias("rst"),
-        F.sum("ttl").alias("ttl"), F.sum("win").alias("win"),
-        F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"),
-        F.collect_set(known("dst_ip")).alias("_ips"),
-        F.collect_set(known("dst_port")).alias("_ports"),
-        F.collect_list(known("ts_us")).alias("_times"),
-    )
+    agg = ev.withWatermark("event_time", watermark).groupBy(win.alias("w"), *keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("frame_len") * F.col("frame_len")).alias("sxx"),
+        *[F.sum(c).alias(_NAMES.get(c, c)) for c in _SUMS])
     start = F.unix_micros(F.col("w.start"))
     return agg.select(idiv(start - F.lit(origin_us), th.window_us).alias("window_id"),
                       start.alias("window_start_us"), "*").drop("w")
 
 
-def _gap_moment(times: F.Column) -> F.Column:
-    """Sum of squared consecutive gaps of a (window-bounded) time list."""
-    t = F.array_sort(times)
-    d = F.zip_with(F.slice(t, 2, F.size(t)), t, lambda a, b: a - b)
-    return F.aggregate(d, F.lit(0).cast("bigint"), lambda acc, x: acc + x * x)
+def _sub_buckets(rows: DataFrame, sub_us: int = SUB_US) -> DataFrame:
+    """Partials per (window, source, 10 ms sub-bucket) of counted packets; equal times are no gap."""
+    rows = rows.withColumn("_sub", idiv(F.col("ts_us"), sub_us))
+    w = Window.partitionBy(*FLOW_KEYS, "_sub").orderBy("ts_us")
+    d = F.col("ts_us") - F.lag("ts_us").over(w)
+    return rows.withColumn("_d", d).groupBy(*FLOW_KEYS, "_sub").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "syn", "ack", "fin", "rst", "ttl", "win")],
+        F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"), F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0)).alias("s2"),
+        F.coalesce(F.sum(F.when(F.col("protocol") == "DNS", F.col("n"))), F.lit(0)).alias("dns_packets"),
+        F.min("window_start_us").alias("window_start_us"))
+
+
+def _distinct(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Distinct values per flow in two levels; nulls do not count."""
+    return (rows.filter(F.col(value).isNotNull()).select(*FLOW_KEYS, value).distinct()
+            .groupBy(*FLOW_KEYS).agg(F.count(F.lit(1)).alias(name)))
+
+
+def batch_flows(rows: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
+    """Flow features of the counted packets of gated windows."""
+    valid = rows.filter(F.col("src_ip").isNotNull())
+    m = _merge(_sub_buckets(valid), FLOW_KEYS, "_sub", ["window_start_us"])
+    for value, name in (("dst_ip", "unique_target_ips"), ("dst_port", "unique_target_ports")):
+        m = m.join(_distinct(valid, value, name), FLOW_KEYS, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return _derive(m, FLOW_KEYS, th, ["window_start_us"])
 
 
 @dataclass
@@ -164,84 +168,89 @@ def _write_all(jobs) -> None:
 def process_batch(batch: DataFrame, batch_id: int, det: Detector, sinks: StreamSinks) -> None:
     """Gate -> features -> rolling (stateful) -> layers -> idempotent writes.
 
-    The micro-batch frame feeds several writes, so it is persisted once
-    (otherwise every action re-executes the stateful window aggregate)."""
+    The counted packets and the flows with their history each feed several writes, so
+    both are persisted for the batch and given back whatever happens."""
     spark = batch.sparkSession
     th = det.th
-    batch = batch.persist()
-    gate = (batch.groupBy("window_id").agg(F.sum("n").alias("_wp"))
-            .filter(F.col("_wp") >= th.min_window_packets).select("window_id"))
-    rows = batch.join(gate, "window_id")
-    # protocols of a sub-bucket together again
-    valid = rows.filter(F.col("src_ip").isNotNull()).groupBy(*FLOW_KEYS, "window_start_us", "_sub").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "syn", "ack", "fin", "rst", "ttl", "win")],
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.coalesce(F.sum(F.when(F.col("protocol") == "DNS", F.col("n"))), F.lit(0)).alias("dns_packets"),
-        *[F.flatten(F.collect_list(c)).alias(c) for c in ("_ips", "_ports", "_times")])
-    valid = valid.withColumn("s2", _gap_moment(F.col("_times"))).drop("_times")
-    # merge sub-buckets into (window, source): boundary gaps + union of target sets
-    sets = [F.size(F.array_distinct(F.flatten(F.collect_list("_ips")))).cast("bigint").alias("unique_target_ips"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("_ports")))).cast("bigint").alias("unique_target_ports")]
-    m = _merge(valid, FLOW_KEYS, "_sub", ["window_start_us"], extra=sets)
-    flows = _derive(m, FLOW_KEYS, th, ["window_start_us"])
-    # Keyed bounded history across batches
-    prev = _previous_state(spark, sinks.state, batch_id, flows.schema)
-    mine = flows.withColumn("_new", F.lit(True))
-    both = mine if prev is None else prev.withColumn("_new", F.lit(False)).unionByName(mine)
-    # a batch holds a few windows per source plus <= 14 state rows: one frame per source
-    rolled = rolling_state(both, th, block_windows=None).cache()
-    w = Window.partitionBy("src_ip").orderBy(F.col("window_id").desc())
-    keep = th.rolling_windows - 1
-    state = (rolled.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= keep)
-             .select(*flows.columns))
-    scored = score_flows(rolled.filter("_new").drop("_new"), det).cache()
-    protos = (rows.filter(F.col("src_ip").isNotNull() & ~is_blank("protocol")).groupBy(*FLOW_KEYS, "protocol")
-              .agg(F.sum("n").alias("packets"), F.sum("sx").alias("bytes")))
-    jobs = [lambda: _snapshot(state, sinks.state, batch_id),
-            lambda: append_table(to_alerts(scored), sinks.alerts, batch_id),
-            lambda: write_protocol_breakdown(protos, sinks.protocols, batch_id)]
-    if sinks.notify_cfg is not None:
-        jobs.append(lambda: _notices_batch(scored, batch_id, det, sinks))
-    _write_all(jobs)
-    for path in (sinks.state, sinks.throttle_state):
-        _forget(spark, path, batch_id)
-    scored.unpersist()
-    rolled.unpersist()
-    batch.unpersist()
+    held = [batch.persist()]
+    try:
+        gate = (batch.groupBy("window_id").agg(F.sum("n").alias("_wp"))
+                .filter(F.col("_wp") >= th.min_window_packets).select("window_id"))
+        rows = batch.join(gate, "window_id")
+        flows = batch_flows(rows, th).persist()
+        held.append(flows)
+        # Keyed bounded history across batches
+        prev = state.history(spark, sinks.state, batch_id, flows.select("src_ip").distinct())
+        mine = flows.withColumn("_new", F.lit(True))
+        both = mine if prev is None else mine.unionByName(prev.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        # a batch holds a few windows per source plus <= 14 past ones: one frame per source
+        rolled = rolling_state(both, th, block_windows=None).persist()
+        held.append(rolled)
+        scored = score_flows(rolled.filter("_new").drop("_new"), det)
+        protos = (rows.filter(F.col("src_ip").isNotNull() & ~is_blank("protocol")).groupBy(*FLOW_KEYS, "protocol")
+                  .agg(F.sum("n").alias("packets"), F.sum("sx").alias("bytes")))
+        jobs = [lambda: state.write_history(rolled.select("src_ip", *state.HISTORY), sinks.state, batch_id, th),
+                lambda: append_table(to_alerts(scored), sinks.alerts, batch_id),
+                lambda: write_protocol_breakdown(protos, sinks.protocols, batch_id)]
+        if sinks.notify_cfg is not None:
+            jobs.append(lambda: _notices_batch(scored, batch_id, det, sinks))
+        _write_all(jobs)
+        state.forget(spark, sinks.state, batch_id)
+        if sinks.notify_cfg is not None:
+            _forget(spark, sinks.throttle_state, batch_id)
+    finally:
+        for df in reversed(held):
+            df.unpersist()
+
+
+def fold_throttle(notices: DataFrame, last: DataFrame | None, period: int) -> DataFrame:
+    """Times kept by the greedy throttle: (source_ip, kept array<bigint>) of ``notices(source_ip,
+    window_start_us)`` after ``last(source_ip, last_kept_us)``.
+
+    A fold over a batch's notices of one source, a time for each of its windows at most, in order;
+    it keeps at most one time a period."""
+    d = notices.groupBy("source_ip").agg(F.sort_array(F.collect_set("window_start_us")).alias("_times"))
+    if last is None:
+        d = d.withColumn("last_kept_us", F.lit(None).cast("bigint"))
+    else:
+        d = d.join(last, "source_ip", "left")
+    none = F.array().cast("array<bigint>")
+
+    def step(acc, t):
+        due = acc["last"].isNull() | (t >= acc["last"] + period)
+        return F.when(due, F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
+
+    kept = F.aggregate("_times", F.struct(F.col("last_kept_us").alias("last"), none.alias("kept")), step, lambda acc: acc["kept"])
+    return d.select("source_ip", kept.alias("kept"))
 
 
 def _notices_batch(scored: DataFrame, batch_id: int, det: Detector, sinks: StreamSinks) -> None:
     """S3: keyed throttle across batches.
 
-    The state is one row per source (last kept time) of the last period; an
-    older one can't hold back anything.  It is prepended to the batch's notices as
-    the earliest row of its key (a window's start is unique within its source), so
-    the same exact greedy throttle continues the chain; the new snapshot is written
-    to ``throttle_state/batch_id=N`` (idempotent on retry).
-    """
+    The state is one row per source (last kept time) of the last period; an older one can't hold
+    back anything.  The snapshot is written to ``throttle_state/batch_id=N`` (idempotent on retry)."""
     from flowwatch.functions import clock_text
     from flowwatch.operators import notify
-    from flowwatch.operators.throttle import greedy_throttle
     spark = scored.sparkSession
-    notices = notify.notice_records(scored).withColumn("timestamp", clock_text(F.col("window_start_us")))
     period = det.th.throttle_s * 1_000_000
-    keys = notices.select("source_ip", "window_start_us", F.lit(False).alias("_seed"))
-    prev = _previous_state(spark, sinks.throttle_state, batch_id, "source_ip string, last_kept_us bigint")
-    if prev is not None:
-        seed = prev.select("source_ip", F.col("last_kept_us").alias("window_start_us"), F.lit(True).alias("_seed"))
-        keys = seed.unionByName(keys)
-    keys = keys.withColumn("_id", F.col("window_start_us"))
-    kept = greedy_throttle(keys, ["source_ip"], "window_start_us", "_id", period).cache()
-    state = kept.groupBy("source_ip").agg(F.max("window_start_us").alias("last_kept_us"))
-    now = scored.agg(F.max("window_start_us")).scalar()
-    state = state.filter(F.col("last_kept_us") > F.coalesce(now, F.lit(0)) - period)
-    _snapshot(state, sinks.throttle_state, batch_id)
-    sent = notices.join(kept.filter(~F.col("_seed")).select("source_ip", "window_start_us"),
-                        ["source_ip", "window_start_us"], "left_semi")
-    cfg = sinks.notify_cfg
-    out = notify.with_payload(notify.fan_out(notify.with_text(sent), notify.enabled_channels(cfg)), cfg)
-    append_table(out, sinks.outbox, batch_id)
-    kept.unpersist()
+    notices = notify.notice_records(scored).withColumn("timestamp", clock_text(F.col("window_start_us"))).persist()
+    try:
+        prev = _previous_state(spark, sinks.throttle_state, batch_id, "source_ip string, last_kept_us bigint")
+        kept = fold_throttle(notices, prev, period).filter(F.size("kept") > 0).persist()
+        try:
+            last = kept.select("source_ip", F.element_at("kept", -1).alias("last_kept_us"))
+            if prev is not None:
+                last = prev.join(last.select("source_ip"), "source_ip", "left_anti").unionByName(last)
+            now = scored.agg(F.max("window_start_us")).scalar()
+            _snapshot(last.filter(F.col("last_kept_us") > F.coalesce(now, F.lit(0)) - period), sinks.throttle_state, batch_id)
+            sent = notices.join(kept.select("source_ip", F.explode("kept").alias("window_start_us")), ["source_ip", "window_start_us"], "left_semi")
+            cfg = sinks.notify_cfg
+            out = notify.with_payload(notify.fan_out(notify.with_text(sent), notify.enabled_channels(cfg)), cfg)
+            append_table(out, sinks.outbox, batch_id)
+        finally:
+            kept.unpersist()
+    finally:
+        notices.unpersist()
 
 
 def late_rows(query) -> int:
@@ -256,12 +265,11 @@ def late_rows(query) -> int:
 
 def start_detection_stream(spark: SparkSession, source: DataFrame, out_root: str, checkpoint: str,
                            det: Detector | None = None, watermark: str = "4 seconds", origin_us: int = 0,
-                           trigger: dict | None = None, notify_cfg: dict | None = None,
-                           sub_us: int = STREAM_SUB_US):
+                           trigger: dict | None = None, notify_cfg: dict | None = None):
     """Start the continuous pipeline; returns the ``StreamingQuery``."""
     det = det or Detector()
     sinks = StreamSinks(out_root, notify_cfg)
-    agg = window_aggregates(source, det.th, watermark, origin_us, sub_us)
+    agg = counted_packets(source, det.th, watermark, origin_us)
     w = (agg.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: process_batch(df, bid, det, sinks)))
     w = w.trigger(**(trigger or {"processingTime": f"{det.th.window_us // 1_000_000} seconds"}))

@@ -8,6 +8,7 @@ from flowwatch.operators import notify
 from flowwatch.operators.flows import protocol_breakdown
 from flowwatch.plans.pipeline import Detector, alerts, detect, windowed_packets
 from flowwatch.sources.packets import RAW_ORDER, packets_from_events
+from flowwatch.streaming import state
 from flowwatch.streaming.pipeline import late_rows, packet_stream, stage_replay_files, start_detection_stream
 
 from conftest import SF001
@@ -33,8 +34,12 @@ def test_stream_equals_batch(spark, tmp):
     want = alerts(raw, det)
     cols = want.columns
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.collect()))
-    # no snapshot is kept that no retry can ask for
-    assert len([d for d in os.listdir(os.path.join(out, "state")) if d.startswith("batch_id=")]) == 2
+    # no state is kept that no retry can ask for
+    n = 1 + max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
+    kept = {d for d in os.listdir(os.path.join(out, "state")) if d.startswith("batches-")}
+    live = set(state.live_segments(n)) | set(state.live_segments(n - 1)) | {(n - 1, n - 1)}
+    assert kept and kept <= {os.path.basename(state.segment_path("", s)) for s in live}
+    assert len([d for d in os.listdir(os.path.join(out, "throttle_state")) if d.startswith("batch_id=")]) == 2
     # protocols as in batch
     pk = windowed_packets(raw)
     protos = spark.read.parquet(os.path.join(out, "protocol_breakdown"))
