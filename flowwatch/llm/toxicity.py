@@ -183,11 +183,13 @@ class LabelModel:
 # ---- on Spark -----------------------------------------------------------------
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
-    """(toxic, text) of at most ``bound`` labelled training rows, chosen by a hash of the id."""
+    """(toxic, text) of at most ``bound`` labelled training rows, chosen by a hash of the id; of rows
+    repeating an id the one of smallest text."""
     y = (labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
          .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return stored(docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("toxic", "text"), "labelled")
+    d = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return stored(d.select("toxic", "text"), "labelled")
 
 
 def gather_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
@@ -248,8 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
     """Fits on at most ``bound`` labelled rows, none of them held out.
 
     The sample's distinct rows of votes (at most bound x about 110 bytes) go to the
-    driver for the label model; the classifier is fitted on Spark.  Without both kinds of
-    labels the model is a fixed one over the plain insults."""
+    driver for the label model; the classifier is fitted on Spark, over distinct rows in
+    one order, so that its sums, and the scores, are the same in every run.  Without both kinds
+    of labels the model is a fixed one over the plain insults."""
     python_tasks(docs.sparkSession)
     sample = labelled_sample(docs, labels, bound)
     words, starts = gather_lexicon(sample)
@@ -275,11 +278,12 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
     found = pd.DataFrame({"toxic": given.astype(np.int32), "votes": rows["votes"], "p": post})
     spark = docs.sparkSession
     p = spark.createDataFrame(found, "toxic int, votes binary, p double")
-    train = voted.join(F.broadcast(p), ["toxic", "votes"]).select(
-        array_to_vector("x").alias("features"),
-        F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")),
-                          F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("y"))
-    train = train.select("features", "y.label", "y.weight").filter("weight > 0.001")
+    # equal features and votes are one row with their number; at most twice ``bound`` rows, in one partition
+    train = voted.groupBy("toxic", "votes", "x").agg(F.count("*").alias("n")).join(F.broadcast(p), ["toxic", "votes"])
+    train = train.select("x", "toxic", "votes", F.explode(F.array(
+        F.struct(F.lit(1.0).alias("label"), F.col("p").alias("part")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("part")))).alias("y"), "n")
+    train = train.filter("y.part > 0.001").coalesce(1).sortWithinPartitions("x", "toxic", "votes", "y.label").select(
+        array_to_vector("x").alias("features"), "y.label", (F.col("y.part") * F.col("n")).alias("weight"))
     lr = LogisticRegression(weightCol="weight", regParam=0.002, maxIter=60).fit(train)
     return Model(voters, np.array(lr.coefficients.toArray()), float(lr.intercept))
 

@@ -54,6 +54,21 @@ def test_held_out_labels_do_not_matter(spark):
     assert a == b
 
 
+def test_scores_do_not_depend_on_the_order_of_rows(spark):
+    docs, labels = made(600, 4)
+    got = []
+    for k in (1, 3, 7):
+        d = spark.createDataFrame(docs[k:] + docs[:k], "doc_id long, text string").repartition(k)
+        got.append(sorted(map(tuple, toxicity.score_documents(d, spark.createDataFrame(labels, "doc_id long, toxic int").repartition(k)).collect())))
+    assert got[0] == got[1] == got[2]
+
+
+def test_bound_of_labelled_rows_holds_for_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 30, f"text {i}") for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] * 3, "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels, 5).count() == 5
+
+
 def test_label_model_finds_bad_and_doubled_voters():
     r = np.random.default_rng(3)
     y = r.random(4000) < 0.3
