@@ -139,6 +139,39 @@ def _distinct_targets(valid: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+_TARGETS = {"dst_ip": "unique_target_ips", "dst_port": "unique_target_ports"}
+
+
+def _target_sketches(lg_k: int) -> list[Column]:
+    """D2, approximate: a cardinality sketch of each kind of target, to be merged; at most 2^lg_k registers."""
+    return [F.hll_sketch_agg(c, lg_k).alias(f"_{c}s") for c in _TARGETS]
+
+
+def _target_estimates() -> list[Column]:
+    return [F.hll_sketch_estimate(F.hll_union_agg(f"_{c}s")).alias(name) for c, name in _TARGETS.items()]
+
+
+def sketch_error(lg_k: int) -> float:
+    """Relative error of a sketch's estimate that three standard deviations stay within."""
+    return 3 * 1.04 / 2 ** (lg_k / 2)
+
+
+def flow_features_approx(pk: DataFrame, th: Thresholds = DEFAULT, sub_us: int = SUB_US, lg_k: int = 12) -> DataFrame:
+    """D1 with approximate distinct targets (D2): :func:`flow_features` in one pass over the packets.
+
+    Each sub-bucket keeps two mergeable sketches, so no packet is shuffled a second time for its
+    targets, and packets without a source are partials of their own that count for the gate: a window's
+    packets are the sum over its merged rows, one for each source.  Small sets are counted exactly;
+    large ones within :func:`sketch_error`.  :func:`flow_features`, the default, is exact."""
+    sub = idiv(F.col("ts_us"), sub_us)
+    carry = ["window_start_us"] if "window_start_us" in pk.columns else []
+    known = pk.withColumn("src_ip", F.when(~is_blank("src_ip"), F.col("src_ip")))
+    merged = _merge(_partials(known, FLOW_KEYS, sub, carry, _target_sketches(lg_k)), FLOW_KEYS, "_sub", carry, _target_estimates())
+    merged = merged.withColumn("_packets", F.sum("n").over(Window.partitionBy("window_id")))
+    flows = merged.filter((F.col("_packets") >= th.min_window_packets) & F.col("src_ip").isNotNull())
+    return _derive(flows, FLOW_KEYS, th, carry)
+
+
 def _derive(m: DataFrame, keys: list[str], th: Thresholds, carry=()) -> DataFrame:
     """18 features from merged moments (all exact until the last step)."""
     n = F.col("n")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from flowwatch import config as C
 from flowwatch.operators.clean import clean_packets, drop_unaddressed, valid_sources
 from flowwatch.operators.flows import (
-    assign_windows, flow_features, flow_features_global, gated_windows, iat_stats,
-    protocol_breakdown, window_packet_counts,
+    assign_windows, flow_features, flow_features_approx, flow_features_global, gated_windows, iat_stats,
+    protocol_breakdown, sketch_error, window_packet_counts,
 )
 from flowwatch.plans import oracle as O
 from flowwatch.plans.pipeline import Detector, detect, flows_with_history, to_alerts, windowed_packets
@@ -134,6 +134,20 @@ FLOW_COLS = ", ".join(["window_id", "src_ip"] + C.FEATURE_COLS + ["dns_packets",
 register("flow_features", W(*BASE) + f"SELECT {FLOW_COLS} FROM flows")(
     lambda s, sf: flow_features(_pk(s, sf)).select(*FLOW_COLS.split(", ")))
 
+def _approx(s, sf):
+    """D2, approximate: each flow's estimates within the error that the sketch's size gives, all else exact."""
+    pk = _pk(s, sf)
+    a, b = (f.select(*FLOW_COLS.split(", ")) for f in (flow_features_approx(pk), flow_features(pk)))
+    targets = ["unique_target_ips", "unique_target_ports"]
+    b = b.select("window_id", "src_ip", *[F.col(c).alias(f"exact_{c}") for c in targets])
+    close = [(F.abs(F.col(c) - F.col(f"exact_{c}")) <= sketch_error(12) * F.col(f"exact_{c}")).alias(f"{c}_close") for c in targets]
+    return a.join(b, ["window_id", "src_ip"]).select(*[c for c in a.columns if c not in targets], *[f"exact_{c}" for c in targets], *close)
+
+
+register("flow_features_approx", W(*BASE) + "SELECT " + ", ".join(c for c in FLOW_COLS.split(", ") if not c.startswith("unique_"))
+         + """, unique_target_ips AS exact_unique_target_ips, unique_target_ports AS exact_unique_target_ports,
+true AS unique_target_ips_close, true AS unique_target_ports_close FROM flows""")(_approx)
+
 register("flow_rates", W(*BASE) + """
 SELECT window_id, src_ip, flow_duration_sec, packets_per_second, bytes_per_second, avg_packet_size,
        syn_ack_ratio FROM flows""")(

@@ -9,11 +9,14 @@ from pyspark.sql import types as T
 
 from flowwatch import config as C
 from flowwatch.functions import coerce_numeric, scrub
+from flowwatch.session import path_exists
+from flowwatch.sinks.segments import SEGMENTS, read_appended
 
 
 ALERT_LOG = ("window_id bigint, window_start_us bigint, timestamp string, source_ip string, packets_per_sec double, "
              "avg_window_size double, syn_ack_ratio double, total_bytes bigint, traffic_profile string, threat_level string, "
              "confidence double")
+PROTOCOL_TABLE = "window_id bigint, src_ip string, protocol string, packets bigint, bytes bigint"
 
 
 def read_ip_list(spark: SparkSession, path: str | None, strip_inline_comments: bool = True) -> DataFrame:
@@ -61,12 +64,13 @@ def read_alert_log(spark: SparkSession, path: str) -> DataFrame:
     """A6 + B5: alert table tolerant of the older schema without ``confidence``.
 
     The schema is given, so no footer is read to plan; a file without the column
-    gives nulls, which read as 0."""
-    df = spark.read.schema(ALERT_LOG).parquet(path)
+    gives nulls, which read as 0.  Merged segments are read in place of what they hold."""
+    df = read_appended(spark, path, ALERT_LOG) if path_exists(spark, f"{path}/{SEGMENTS}") else spark.read.schema(ALERT_LOG).parquet(path)
     return df.withColumn("confidence", F.coalesce(F.col("confidence"), F.lit(0.0)))
 
 
 def read_protocol_table(spark: SparkSession, path: str, source_ip: str | None = None) -> DataFrame:
-    """Per-protocol counts, optionally for one source (filter pushed to the scan)."""
-    df = spark.read.parquet(path)
+    """Per-protocol counts, optionally for one source (filter pushed to the scan).  Merged segments, in
+    which a source lies in few row groups, are read in place of what they hold."""
+    df = read_appended(spark, path, PROTOCOL_TABLE) if path_exists(spark, f"{path}/{SEGMENTS}") else spark.read.parquet(path)
     return df.filter(F.col("src_ip") == source_ip) if source_ip is not None else df

@@ -22,11 +22,13 @@ stream reproduces the batch alerts exactly.
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from flowwatch.config import DEFAULT, Thresholds
 from flowwatch.functions import is_blank
@@ -254,7 +256,7 @@ def _notices_batch(scored: DataFrame, batch_id: int, det: Detector, sinks: Strea
 
 
 def late_rows(query) -> int:
-    """Rows dropped by the watermark so far (from the query's progress)."""
+    """Rows dropped by the watermark in the query's recent progress; :func:`late_rows_total` counts all."""
     total = 0
     for p in query.recentProgress:
         for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
@@ -270,45 +272,117 @@ def start_detection_stream(spark: SparkSession, source: DataFrame, out_root: str
     det = det or Detector()
     sinks = StreamSinks(out_root, notify_cfg)
     agg = counted_packets(source, det.th, watermark, origin_us)
-    w = (agg.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    name = f"detection-{uuid.uuid4().hex}"
+    spark.streams.addListener(LateCounter(spark, os.path.join(out_root, "late"), name))
+    w = (agg.writeStream.outputMode("append").queryName(name).option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: process_batch(df, bid, det, sinks)))
     w = w.trigger(**(trigger or {"processingTime": f"{det.th.window_us // 1_000_000} seconds"}))
     return w.start()
 
 
-def stage_replay_files(raw: DataFrame, path: str, chunks: int = 8, spacing_s: float = 0.0,
-                       late_packet: bool = False) -> int:
-    """A9 helper: write packets as ``chunks`` time-ordered files (one per time
-    slice, appended in order) plus a far-future flush packet, so a file
+def stage_replay_files(raw: DataFrame, path: str, chunks: int = 8, late_packet: bool = False) -> int:
+    """A9 helper: write packets as ``chunks`` files in order of time, plus a far-future flush packet, so a file
     stream with ``maxFilesPerTrigger=1`` replays them like a live capture.
     Returns the batch anchor (first usable packet time) for ``origin_us``.
 
-    The file source orders files by modification time; ``spacing_s`` keeps
-    the times distinct on file systems with coarse timestamps.
+    One range-partitioned pass writes all slices, packets without a usable time in the first.  The file source
+    orders files by modification time, which is set a second apart after the write.
     ``late_packet`` appends one packet far behind the watermark (S4 check)."""
-    import time
     from flowwatch.operators.flows import window_origin
     spark = raw.sparkSession
     raw = raw.select(*[F.col(c).cast("string").alias(c) if c not in ("frame_no", "ts_us") else F.col(c)
                        for c in RAW_ORDER])
-    t0 = spark.range(1).select(window_origin(clean_packets(raw))).first()[0]
-    lo, hi = raw.filter("ts_us > 0").agg(F.min("ts_us"), F.max("ts_us")).first()
-    cuts = [lo + (hi - lo) * i // chunks for i in range(chunks + 1)]
-    cuts[0], cuts[-1] = -(1 << 62), hi + 1           # unusable times go with the first slice
-    for a, b in zip(cuts, cuts[1:]):
-        raw.filter((F.col("ts_us") >= a) & (F.col("ts_us") < b)).coalesce(1).write.mode("append").parquet(path)
-        time.sleep(spacing_s)
+    t0, lo, hi = spark.range(1).select(window_origin(clean_packets(raw)), raw.filter("ts_us > 0").agg(F.min("ts_us")).scalar(),
+                                       raw.filter("ts_us > 0").agg(F.max("ts_us")).scalar()).first()
+    raw.withColumn("_t", F.greatest("ts_us", F.lit(0))).repartitionByRange(chunks, "_t").drop("_t").write.mode("append").parquet(path)
     flush = spark.createDataFrame([(0, hi + 3_600_000_000)], "frame_no long, ts_us long")
     for c in RAW_ORDER[2:]:
         flush = flush.withColumn(c, F.lit(None).cast("string"))
-    flush.write.mode("append").parquet(path)
+    done = _in_order(spark, path, set())
+    flush.coalesce(1).write.mode("append").parquet(path)
+    done = _in_order(spark, path, done)
     if late_packet:
-        time.sleep(spacing_s)
-        flush.withColumn("ts_us", F.lit(lo)).withColumn("src_ip", F.lit("10.9.9.9")) \
-            .write.mode("append").parquet(path)
+        flush.coalesce(1).withColumn("ts_us", F.lit(lo)).withColumn("src_ip", F.lit("10.9.9.9")).write.mode("append").parquet(path)
+        _in_order(spark, path, done)
     return t0
 
 
+def _in_order(spark: SparkSession, path: str, done: set[str]) -> set[str]:
+    """Gives the files that are not in ``done`` modification times a second apart, after those, in order of their names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new = sorted(n for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("part-") and n not in done)
+    for i, name in enumerate(new, len(done)):
+        fs.setTimes(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name), (1_600_000_000 + i) * 1000, -1)
+    return done | set(new)
+
+
+class LateCounter(StreamingQueryListener):
+    """A durable count of the rows that the watermark dropped, for the whole life of a query.
+
+    Every batch that drops rows leaves a small file with their number, named by the batch, so a
+    retried batch counts once, and the count outlives restarts and the query's recent progress."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str):
+        self.spark, self.root, self.name = spark, root, name
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        dropped = sum(int(op.numRowsDroppedByWatermark or 0) for op in p.stateOperators)
+        if p.name == self.name and dropped:
+            jvm = self.spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, f"batch-{p.batchId:09d}"))
+            out = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+            out.writeBytes(f"{p.batchId},{dropped}\n")
+            out.close()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def late_rows_total(spark: SparkSession, out_root: str) -> int:
+    """Rows dropped by the watermark since the stream first ran, from its durable counter."""
+    root = os.path.join(out_root, "late")
+    if not path_exists(spark, root):
+        return 0
+    return spark.read.schema("batch_id bigint, rows bigint").csv(root).agg(F.sum("rows")).first()[0] or 0
+
+
+def late_packets_batch(batch: DataFrame, batch_id: int, root: str, delay_us: int, th: Thresholds, origin_us: int) -> None:
+    """One batch of :func:`start_late_table`."""
+    spark = batch.sparkSession
+    batch = clean_packets(batch).filter("ts_us > 0").persist()
+    try:
+        seen = os.path.join(root, "seen")
+        prev = _previous_state(spark, seen, batch_id, "ts_us bigint")
+        top = batch.agg(F.max("ts_us").alias("ts_us"))
+        top = (top if prev is None else top.unionByName(prev)).agg(F.max("ts_us").alias("ts_us"))
+        if prev is not None:
+            end = F.col("ts_us") - F.pmod(F.col("ts_us") - F.lit(origin_us), F.lit(th.window_us)) + th.window_us
+            mark = prev.select((idiv(F.col("ts_us"), 1000) * 1000 - delay_us).alias("m")).scalar()
+            append_table(batch.filter(end <= mark), os.path.join(root, "late_packets"), batch_id)
+        _snapshot(top, seen, batch_id)
+        _forget(spark, seen, batch_id)
+    finally:
+        batch.unpersist()
+
+
+def start_late_table(spark: SparkSession, source: DataFrame, out_root: str, checkpoint: str, delay_s: float = 4.0, th: Thresholds = DEFAULT,
+                     origin_us: int = 0, trigger: dict | None = None):
+    """A side table of the late packets, ``late_packets``: those whose window ended at or before the newest
+    time of the batches before, less the delay.  Run over the same source with the same files a
+    trigger as the detection stream, it holds the packets that one drops."""
+    w = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda df, bid: late_packets_batch(df, bid, out_root, round(delay_s * 1_000_000), th, origin_us))
+    return w.trigger(**(trigger or {"processingTime": f"{th.window_us // 1_000_000} seconds"})).start()
+
+
 def batch_durations_ms(query) -> list[int]:
     """Trigger execution time of every recorded micro-batch (ms)."""
     out = []
