@@ -100,7 +100,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates the large-star and small-star steps until the edges no longer
     change, so a chain of n nodes takes about log n rounds.  A star's centre
     is never gathered: each step is a minimum per node (combined before the
-    shuffle) joined back to the edges.  Rounds are cut with ``checkpoint()``.
+    shuffle and written, so that the join back to the edges has plain shuffles on
+    both sides, whose skewed keys adaptive execution splits).  Rounds are cut with
+    ``checkpoint()``.
     Self-links, repeated links and links with a null end are ignored; no links
     give an empty result.  Returns (node long, component long), one row per
     node that has a link.
@@ -123,10 +125,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         # large star: every neighbour above u moves to the least of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least(both).select("u", F.least("u", "m").alias("m"))
-        large = tidy(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = stored(least(both).select("u", F.least("u", "m").alias("m")), "star-centres")
+        large = stored(tidy(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large-stars")
         # small star: every neighbour below u, and u, move to the least of them
-        small = large.join(least(large), "u")
+        small = large.join(stored(least(large), "star-centres"), "u")
         e = tidy(small.select("v", F.col("m")).toDF("u", "v").unionByName(small.select("u", F.col("m").alias("v")))).checkpoint()
         now = mark(e)
         if now == seen:

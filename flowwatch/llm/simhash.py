@@ -56,15 +56,21 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(count * 2 > len(hashes)).view(">i8")[0])
 
 
+def _text_key(text: Column) -> list[Column]:
+    """Two hashes that tell the texts of one id apart; null and empty texts are alike."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("text_key"), F.hash(t).alias("text_key2")]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row; null texts have fingerprint 0."""
+    """(doc_id, fp long, text_key, text_key2) of every row; null texts have fingerprint 0."""
     python_tasks(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col).cast("binary")).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col).cast("binary")).alias("fp"), *_text_key(F.col(text_col)))
 
 
 def _syndrome(half: Column) -> Column:
@@ -153,27 +159,44 @@ def pairs(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = ANCHOR_BLOCK) -> DataFrame:
     """Links (u, v) that connect what ``fps(fp, node)``, of distinct fingerprints, has within ``max_bits`` (at most 3).
 
-    An anchor with more than ``block`` rows at home is cut into blocks by a hash
-    of the fingerprint, and each pair of blocks is one group."""
+    An anchor with more than ``block`` rows, at home or not, is cut into blocks by a hash of the
+    fingerprint: its rows at home and those away each by their own number.  Blocks at home meet each
+    other and the blocks away, so an anchor costs its rows at home times all its rows, and one without a
+    row at home is dropped before the shuffle."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two halves of covering radius 1 find up to three differing bits")
     rep = anchors(fps)
-    hot = stored(rep.filter("home").groupBy("anchor").count().filter(F.col("count") > block)
-                 .select("anchor", F.ceil(F.col("count") / block).cast("int").alias("n")), "hot-anchors")
+    rows = rep.groupBy("anchor").agg(F.count_if("home").alias("at_home"), F.count("*").alias("rows")).filter(F.col("rows") > block)
+    hot = stored(rows.select("anchor", F.ceil(F.col("at_home") / block).cast("int").alias("n_home"),
+                             F.ceil((F.col("rows") - F.col("at_home")) / block).cast("int").alias("n_away")), "hot-anchors")
     if hot.isEmpty():
         rep = rep.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
     else:
-        own = F.pmod(F.xxhash64("fp"), F.coalesce("n", F.lit(1))).cast("int")
-        rep = (rep.join(hot, "anchor", "left").withColumn("own", own)
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)))
+        rep = rep.join(hot, "anchor", "left").filter("n_home is null or n_home > 0")
+        # blocks at home come first, those away after them
+        own = F.pmod(F.xxhash64("fp"), F.greatest(F.when(F.col("home"), F.col("n_home")).otherwise(F.col("n_away")), F.lit(1))).cast("int")
+        rep = rep.withColumn("own", F.when(F.col("n_home").isNull(), 0).when(F.col("home"), own).otherwise(F.col("n_home") + own))
+        meets = F.when(F.col("n_home").isNull(), 1).when(F.col("home"), F.col("n_home") + F.col("n_away")).otherwise(F.col("n_home"))
+        rep = (rep.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
                .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")))
-        # within a cut anchor, rows at home may be in another block than those they meet
-        rep = rep.withColumn("home", F.col("home") | F.col("n").isNotNull())
     rep = rep.select("anchor", "lo", "hi", "fp", "node", "home")
     return (rep.repartition("anchor", "lo", "hi").sortWithinPartitions("anchor", "lo", "hi")
             .mapInPandas(_compare(max_bits), "u long, v long"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """doc_id, fp, text_key, text_key2, component (of the fingerprint), component_id of every row."""
+    fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    distinct = stored(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    nodes = distinct.select("fp", F.xxhash64("fp").alias("node"))      # XXH64 of 8 bytes is one to one
+    comp = connected_components(fingerprint_links(nodes, max_bits))
+    named = distinct.withColumn("node", F.xxhash64("fp")).join(comp, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    least = stored(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "components")
+    named = stored(named.join(least, "component").select("fp", "component", "component_id"), "groups")
+    return fps.join(named, "fp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Per row: doc_id, fp (long), component_id: the smallest id reachable over links.
@@ -183,33 +206,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and wordless texts have fingerprint 0 and are linked like any
     other.  Other columns are not read.  An empty table gives no rows.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stored(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    nodes = distinct.select("fp", F.xxhash64("fp").alias("node"))      # XXH64 of 8 bytes is one to one
-    comp = connected_components(fingerprint_links(nodes, max_bits))
-    named = distinct.withColumn("node", F.xxhash64("fp")).join(comp, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    return fps.join(named, "fp", "left").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return _grouped(docs, id_col, text_col, shingle, max_bits).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs``, all columns, with one document of each group: the one of smallest
-    id.  Rows without an id stay.  Of rows repeating a kept id, one with the
-    fingerprint that holds the group's smallest id stays."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_llm_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["_llm_gone"], "left_anti")
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    """``docs``, all columns, with one document of each group: a row whose id is the group's
+    smallest.  Rows without an id stay.  Rows repeating an id are decided each by its own text,
+    so unlike texts of one id stay in their own groups.  Of a group's rows with its smallest id
+    the one of smallest fingerprint, then text hash, then hash of the other columns stays."""
+    found = _grouped(docs, id_col, text_col, shingle, max_bits).filter("doc_id is not null")
+    text = ["doc_id", "text_key", "text_key2"]
+    names = {c: f"_llm_{c}" for c in text}
+    own = found.filter("doc_id = component_id").groupBy("component").agg(
+        F.first("doc_id").alias("doc_id"), F.min(F.struct("fp", "text_key", "text_key2")).alias("first"), F.count("*").alias("rows"))
+    own = stored(own.select("doc_id", "first.text_key", "first.text_key2", "rows"), "kept")
+    marked = docs.withColumns({f"_llm_{c.split('.')[-1]}": k for c, k in zip(text, [F.col(id_col), *_text_key(F.col(text_col))])})
+    gone = stored(found.select(*text).distinct().join(own, text, "left_anti"), "gone")
+    on = list(names.values())
+    kept = marked.join(gone.withColumnsRenamed(names), on, "left_anti")
+    # equal texts of a kept id are one document
+    again = stored(found.join(own.filter("rows > 1").select(*text), text, "left_semi").groupBy(*text).count().filter("count > 1").select(*text), "again")
     if again.isEmpty():
-        return kept
-    again = stored(again.select(F.col("doc_id").alias("_llm_again")), "again")
-    single = kept.join(again, kept[id_col] == again["_llm_again"], "left_anti")
-    double = kept.join(again, kept[id_col] == again["_llm_again"], "left_semi")
-    return single.unionByName(double.dropDuplicates([id_col]))
+        return kept.select(*docs.columns)
+    again = again.withColumnsRenamed(names)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    double = kept.join(again, on, "left_semi").groupBy(*on).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_llm_row")).select("_llm_row.*")
+    return kept.join(again, on, "left_anti").select(*docs.columns).unionByName(double)
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:

@@ -215,6 +215,52 @@ def test_simhash_odd_rows(odd_docs, odd_rows, empty_docs):
     assert simhash.near_duplicate_report(empty_docs).count() == 0
 
 
+def test_simhash_stage_loses_no_text_of_a_repeated_id(spark):
+    a, b, c = (" ".join(random.Random(k).choices("abcdefghijklmnop", k=80)) for k in (1, 2, 3))
+    schema = "doc_id long, text string, component string"
+
+    def kept(*rows):
+        return sorted(tuple(r)[:2] for r in simhash.drop_near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], schema)).collect())
+
+    assert kept((5, a), (5, b), (3, b)) == sorted([(5, a), (3, b)])
+    assert kept((5, a), (5, b), (5, c)) == sorted([(5, a), (5, b), (5, c)])
+    assert kept((5, a), (5, a), (5, b), (7, a), (7, b)) == sorted([(5, a), (5, b)])
+    assert kept((5, a), (5, a + " "), (5, a.upper()), (6, c)) in ([(5, x), (6, c)] for x in (a, a + " ", a.upper()))
+    assert kept((2, None), (2, ""), (2, a), (1, "  ")) == sorted([(1, "  "), (2, a)])
+
+
+def test_simhash_anchor_with_many_rows_away(spark):
+    """One half of very many fingerprints is at one anchor's distance two: they reach the anchor, but are not at home."""
+    r = random.Random(6)
+    half = 0b11                      # two bits from the code word 0, at home at another anchor
+    away = {half | r.getrandbits(31) << 31 for _ in range(50_000)}
+    home = {r.getrandbits(31) << 31 for _ in range(20)}
+    pairs = {(f & ~half | 0b1) for f in list(away)[:15]}          # at home at 0, one bit from one away
+    fps = sorted(away | home | pairs)
+    d = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, node long")
+    got = simhash.fingerprint_links(d, block=2000)
+    links = {tuple(sorted(x)) for x in rows_of(got)}
+    a = np.array(fps, dtype=np.uint64)
+    comp = {k: k for k in range(len(fps))}
+
+    def root(k):
+        while comp[k] != k:
+            comp[k] = comp[comp[k]]
+            k = comp[k]
+        return k
+
+    for u, v in links:
+        comp[root(u)] = root(v)
+    for k in range(0, len(fps), 97):
+        for j in np.flatnonzero(np.bitwise_count(a ^ a[k]) <= 3).tolist():
+            assert root(j) == root(k)
+    for f in pairs:
+        k = fps.index(f)
+        assert all(root(j) == root(k) for j in np.flatnonzero(np.bitwise_count(a ^ a[k]) <= 3).tolist())
+    rep = simhash.anchors(d)
+    assert rep.filter("anchor = 0 and not home").count() >= 50_000 > rep.filter("anchor = 0 and home").count()
+
+
 def clusters(seed, n=1500):
     r = random.Random(seed)
     fps = set()
