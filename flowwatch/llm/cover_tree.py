@@ -21,10 +21,17 @@ from flowwatch.llm.common import stored
 from flowwatch.llm.vectors import best, blocked_search, ranked, usable
 
 BLOCK, QUERY_BLOCK = 4096, 512
+#: just below the largest long
+_LONG = float((1 << 63) - (1 << 20))
 #: centres tried at once when a node is covered
 _TRY = 64
 
 
+def rounding(dim: int) -> float:
+    """Bound of the relative rounding error of a product of vectors, against the product of their norms."""
+    return 4 * (dim + 8) * np.finfo(np.float64).eps
+
+
 class CoverTree:
     """Levels of nodes over the rows of ``x``: per level, each node's centre (a row), radius
     (largest distance of a vector below it) and parent (in the level before).  The last level
@@ -39,7 +46,7 @@ class CoverTree:
         r = reach.max()
         while r > 0 and len(centre) < n:
             r /= 2
-            if r < 1e-6 * (1 + np.sqrt(self.square.max())):
+            if not np.isfinite(r) or r < 1e-6 * (1 + np.sqrt(self.square.max())):
                 break
             centre, group, parent, radius = self._cover(centre, group, r)
             self.levels.append((centre, radius, parent))
@@ -47,11 +54,15 @@ class CoverTree:
         self.levels.append((np.arange(n), np.zeros(n), group))
 
     def _distance(self, rows: np.ndarray, c: int | np.ndarray) -> np.ndarray:
+        """Distances, never too small: rounding is as large as the squares make it, and what overflows is infinite."""
         if np.ndim(c):
-            d = self.square[rows][None, :] + self.square[c][:, None] - 2 * (self.x[c] @ self.x[rows].T)
+            size = self.square[rows][None, :] + self.square[c][:, None]
+            d = size - 2 * (self.x[c] @ self.x[rows].T)
         else:
-            d = self.square[rows] + self.square[c] - 2 * (self.x[rows] @ self.x[c])
-        return np.sqrt(np.maximum(d, 0)) * (1 + 1e-9) + 1e-6
+            size = self.square[rows] + self.square[c]
+            d = size - 2 * (self.x[rows] @ self.x[c])
+        d = np.sqrt(np.maximum(d + size * rounding(self.x.shape[1]), 0)) * (1 + 1e-9) + 1e-6
+        return np.where(np.isnan(d), np.inf, d)
 
     def _cover(self, centre: np.ndarray, group: np.ndarray, r: float):
         """Covers each node's vectors with balls of radius ``r`` around some of them, its centre first."""
@@ -79,6 +90,16 @@ class CoverTree:
         return np.array(centres), new, np.array(parents), np.array(radii)
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers in doubles, exact; those beyond a long are the nearest long."""
+    edge = float(1 << 62)
+    if len(x) and np.sqrt((x * x).sum(axis=1)).max() * np.sqrt((q * q).sum()) < edge and max(np.abs(x).max(), np.abs(q).max()) < edge:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    low, high = -(1 << 63), (1 << 63) - 1
+    whole = [int(c) for c in q]
+    return np.array([min(high, max(low, sum(int(a) * b for a, b in zip(row, whole) if a))) for row in x], np.int64)
+
+
 def dual_tree(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
     """Top k rows of ``x`` for each row of ``q`` (whole numbers in doubles); ``floor``: scores that
     a query's kth is known to reach.  Gives query ids, ids, scores."""
@@ -107,22 +128,26 @@ def dual_tree(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray,
         dot = np.full(alive.shape, -np.inf)
         dot[np.ix_(some_q, some_p)] = q[qc[some_q]] @ x[pc[some_p]].T
         dot[~alive] = -np.inf
+        slack = rounding(x.shape[1]) * (q_norm[qc] + qr)[:, None] * (norm[pc] + pr)[None, :]
         # a node's centres are vectors: k of them, less what the query's distance can take away,
         # are k scores of every query in the group
         other = np.where(ids[pc][None, :] == q_ids[qc][:, None], -np.inf, dot)
         if other.shape[1] > k:
             # one more than k: a query below may be one of these rows itself
-            sure = np.partition(other - qr[:, None] * norm[pc][None, :], other.shape[1] - k - 1, axis=1)[:, other.shape[1] - k - 1]
+            less = other - qr[:, None] * norm[pc][None, :] - slack
+            sure = np.partition(np.where(np.isnan(less), -np.inf, less), other.shape[1] - k - 1, axis=1)[:, other.shape[1] - k - 1]
             kth = np.maximum(kth, sure[group])
         worst = np.full(len(qc), np.inf)
         np.minimum.at(worst, group, kth)
-        bound = dot + qr[:, None] * norm[pc][None, :] + pr[None, :] * q_norm[qc][:, None] + qr[:, None] * pr[None, :]
-        alive = alive & (bound * (1 + 1e-12) + 1e-6 >= worst[:, None])
+        # scores beyond a long are all the nearest long
+        worst = np.where(worst <= -_LONG, -np.inf, np.minimum(worst, _LONG))
+        bound = dot + qr[:, None] * norm[pc][None, :] + pr[None, :] * q_norm[qc][:, None] + qr[:, None] * pr[None, :] + slack
+        alive = alive & ~(bound + 1e-6 < worst[:, None])
     out = []
     for i in range(len(q)):
         near = np.flatnonzero(alive[i])
         near = near[ids[near] != q_ids[i]]
-        score = x[near].astype(np.int64) @ q[i].astype(np.int64)
+        score = products(x[near], q[i])
         top = best(ids[near], score, k)
         out.append((np.full(len(top), q_ids[i]), ids[near[top]], score[top]))
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -136,12 +161,14 @@ def top_products(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec
     A query's own id is no candidate; ties go to the smaller id.  Vectors that are null or
     empty, or hold null or non-finite components, and rows without an id, take no part; of
     rows repeating an id the smallest vector stands.  Vectors of different lengths never meet.
-    Components are whole numbers under 2^24 in size, so that products are exact; a
-    larger one is an error.  Other columns are not read.  No vectors, no rows.
+    Products are exact whatever the size of the components; a score beyond a long
+    is the nearest long, and ranks as such.  Other columns are not read.  No vectors, no rows.
     """
+    # from 2^53 on a double is whole; what overflows by the scale is as good as the largest double
+    most = float(np.finfo(np.float64).max)
     fine = usable(vectors, F.col(vec_col), id_col, zero=True).withColumn(
-        "v", F.transform("v", lambda c: F.when(F.abs(scale * c) < float(1 << 24), F.floor(scale * c).cast("double"))
-                         .otherwise(F.raise_error(F.lit("a component is too large for exact products")).cast("double"))))
+        "v", F.transform("v", lambda c: F.when(F.abs(scale * c) < float(1 << 53), F.floor(scale * c).cast("double"))
+                         .otherwise(F.greatest(F.least(scale * c, F.lit(most)), F.lit(-most)))))
     rows = stored(fine, "vectors")
     asked = rows.filter(queries)
 

@@ -62,6 +62,26 @@ def test_products_are_exact(spark, block, query_block):
     assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 20, 10, product, True))
 
 
+def wide_product(a, b):
+    """Exact, and the nearest long."""
+    def whole(c):
+        x = 1024.0 * c
+        return int(np.floor(x)) if abs(x) < 1 << 53 else int(x)
+
+    return max(-(1 << 63), min((1 << 63) - 1, sum(whole(x) * whole(y) for x, y in zip(a.tolist(), b.tolist()))))
+
+
+@pytest.mark.parametrize("block,query_block", [(4096, 512), (40, 7)])
+@pytest.mark.parametrize("size", [2e4, 1e9, 1e20, 3e38])
+def test_products_of_large_components(spark, size, block, query_block):
+    """Any finite component takes part, and does not disturb the others."""
+    rows = odd_vectors(5, 220)
+    extra = [(2000, [size] + [0.5] * 7), (2020, [0.5] * 7 + [-size]), (2021, [size / 7] * 8), (2040, [-size] * 8)]
+    rows += [(*t, None, None, None, None, None, None) for t in extra]
+    got = cover_tree.top_products(vectors(spark, rows), F.col("vec_id") % 20 == 0, 10, block=block, query_block=query_block)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 20, 10, wide_product, True))
+
+
 @pytest.mark.parametrize("kind", ["even", "clusters", "line"])
 def test_dual_tree(kind):
     r = np.random.default_rng(2)
@@ -183,7 +203,6 @@ def test_file_reads_any_document(tmp_path):
 def test_token_files(spark, odd_docs, odd_rows, empty_docs, monkeypatch):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     monkeypatch.setattr(token_store, "FILE_IDS", 500)    # several files a task
     got = sorted(map(tuple, token_store.token_report(odd_docs, vocabulary("byte_bpe_50k.json")).collect()), key=lambda r: r[1])
     assert [g[0] for g in got] == sorted((r[0] for r in odd_rows), key=lambda d: (d is not None, d or 0))
