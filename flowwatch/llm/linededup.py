@@ -63,6 +63,8 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .filter("nth = 1"))
     common = (first.groupBy(*line).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("stays_in"))
               .filter(F.col("n_docs") >= min_docs).drop("n_docs"))
+    # written first: the join's sides are then plain shuffles, and a very common line is split by adaptive execution
+    common = stored(common, "common-lines")
     gone = at.join(common, line).filter("doc_id <> stays_in")
     words = gone.groupBy("doc_id", "text_key", F.expr("pos div 64").cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("drop"))
