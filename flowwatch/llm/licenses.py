@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cached_property
-from pathlib import Path
+from importlib.resources import files
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -24,6 +24,9 @@ from flowwatch.llm.common import python_tasks
 # Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+#: texts in ``license_texts``
+LONG_TEXTS = 8
+
 # Wording that several short licenses share.
 _N = "<<beginOptional>><<var;name=number;match={}>><<endOptional>> "
 _MIT_GRANT = (
@@ -117,7 +120,10 @@ TEMPLATES = {
                  "<<var;name=version;match=1|2|3|4>>.<<var;name=minor;match=0|5>>",
 }
 # Long licenses, from their files: <label>.txt is the template <label>-text.
-TEMPLATES |= {f"{p.stem}-text": p.read_text() for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+_LONG = {p.name.removesuffix(".txt"): p.read_text() for p in (files(__package__) / "license_texts").iterdir() if p.name.endswith(".txt")}
+if len(_LONG) != LONG_TEXTS:
+    raise ImportError(f"{len(_LONG)} of {LONG_TEXTS} long license texts came with the package")
+TEMPLATES |= {f"{name}-text": _LONG[name] for name in sorted(_LONG)}
 
 # What parts words from each other, over the bytes of a text.
 _PARTING = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
