@@ -90,22 +90,34 @@ def latency_mark(ms_per_decision: float) -> str:
     return "PASS" if ms_per_decision <= C.TARGET_LATENCY_MS else "FAIL"
 
 
+def label_counts(df: DataFrame, truth: str = "label", pred: str = "prediction", test: F.Column | None = None) -> DataFrame:
+    """Rows per (truth, prediction) and whether they are evaluated: all that the metrics need, in one pass.
+
+    ``test``: the rows to evaluate (default all); the others only show which classes there are."""
+    t = F.lit(True) if test is None else test
+    return df.groupBy(F.col(truth).alias("label"), F.col(pred).alias("prediction"), t.alias("test")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def classification_report(df: DataFrame, classes=(0, 1, 2), truth: str = "label", pred: str = "prediction",
-                          names: dict | None = None, present: DataFrame | None = None) -> DataFrame:
+                          names: dict | None = None, test: F.Column | None = None) -> DataFrame:
     """Per-class precision/recall/F1/support, accuracy, macro and weighted averages.
 
-    Only classes that occur in ``present`` (default ``df``) get a row and count
-    in the macro average; presence is a scalar subquery.
+    The rows are read once, for their :func:`label_counts`; all else is arithmetic on these few rows.
+    Only classes that occur in ``df`` get a row and count in the macro average; ``test`` picks the rows
+    that are evaluated (default all).
     """
     names = names or {}
-    present = df if present is None else present
-    flags = present.agg(*[(F.count_if(F.col(truth) == c) > 0).alias(f"in{c}") for c in classes])
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth) == F.col(pred)).alias("correct")]
+    y, z, n = F.col("label"), F.col("prediction"), F.col("rows")
+
+    def rows(cond: F.Column) -> F.Column:
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+
+    aggs = [rows(F.col("test")).alias("n"), rows(F.col("test") & (y == z)).alias("correct"),
+            F.struct(*[(rows(y == c) > 0).alias(f"in{c}") for c in classes]).alias("_flags")]
     for c in classes:
-        aggs += [F.count_if((F.col(truth) == c) & (F.col(pred) == c)).alias(f"tp{c}"),
-                 F.count_if(F.col(pred) == c).alias(f"pp{c}"),
-                 F.count_if(F.col(truth) == c).alias(f"s{c}")]
-    row = df.agg(*aggs).select("*", flags.select(F.struct("*")).scalar().alias("_flags"))
+        aggs += [rows(F.col("test") & (y == c) & (z == c)).alias(f"tp{c}"), rows(F.col("test") & (z == c)).alias(f"pp{c}"),
+                 rows(F.col("test") & (y == c)).alias(f"s{c}")]
+    row = label_counts(df, truth, pred, test).agg(*aggs)
     per = []
     for c in classes:
         tp, pp, s = F.col(f"tp{c}"), F.col(f"pp{c}"), F.col(f"s{c}")
@@ -174,8 +186,22 @@ def binary_truth(label: str = "Label") -> F.Column:
     return (F.upper(F.coalesce(F.col(label).cast("string"), F.lit("nan"))) != "BENIGN").cast("int")
 
 
+def scoring_latency_ms(flows: DataFrame, score) -> float:
+    """Wall time of ``score(flows)`` per flow, in ms.  The flows are made and held before, so only
+    the decisions are timed."""
+    flows = flows.persist()
+    try:
+        n = flows.count()
+        t = time.perf_counter()
+        score(flows).write.format("noop").mode("overwrite").save()
+        return (time.perf_counter() - t) / max(n, 1) * 1000.0
+    finally:
+        flows.unpersist()
+
+
 def decision_latency_ms(scored: DataFrame) -> float:
-    """Wall time of a full scoring pass (noop sink) per row, in ms."""
+    """Wall time of a full scoring pass (noop sink) per row, in ms, with all that ``scored`` is made of;
+    :func:`scoring_latency_ms` times the decisions alone."""
     n = scored.count()
     t = time.perf_counter()
     scored.write.format("noop").mode("overwrite").save()

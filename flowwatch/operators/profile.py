@@ -20,6 +20,9 @@ def column_profile(df: DataFrame, order: str = "frame_no", first_n: int = 20,
     """One row per candidate column: rows, dtype, first non-null values and the
     first distinct values in order of appearance.  Both "first" lists are
     distributed top-k queries (``orderBy(...).limit``), not full sorts.
+
+    ``order`` is the column that tells which row comes first: packets of an export have none of their own, so they
+    are read with their ``place``.
     """
     total = df.agg(F.count(F.lit(1)).alias("rows"))
     parts = []

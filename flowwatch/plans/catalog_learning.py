@@ -99,8 +99,7 @@ register("spec_metrics", W(*ALERTS_PLAIN, LAB, _spec_sql(BIN)))(
 
 
 def _report(s, sf):
-    sp = _split(s, sf)                 # all labelled flows with their part, materialised once
-    return E.classification_report(sp.filter("is_test"), present=sp)
+    return E.classification_report(_split(s, sf), test=F.col("is_test"))
 
 
 def _report_sql(names={0: "0", 1: "1", 2: "2"}, present: str = "lab") -> str:
@@ -254,5 +253,44 @@ def _rf_holdout(s, sf):
 
 
 register("rf_spec_metrics")(lambda s, sf: E.spec_metrics(E.binary_confusion(_rf_holdout(s, sf)[0])))
-register("rf_classification_report")(
-    lambda s, sf: (lambda p: E.classification_report(p[0], present=p[1]))(_rf_holdout(s, sf)))
+
+
+def _rf_report(s, sf):
+    """D14 of the forest's held-out predictions; the classes are those of all labelled flows."""
+    held, sp = _rf_holdout(s, sf)
+    every = held.select("label", "prediction", F.lit(True).alias("evaluated")).unionByName(
+        sp.select("label", F.lit(None).cast("double").alias("prediction"), F.lit(False).alias("evaluated")))
+    return E.classification_report(every, test=F.col("evaluated"))
+
+
+register("rf_classification_report")(_rf_report)
+
+
+STORED_COLS = ["window_id", "src_ip", "label", "prediction"]
+
+
+def _stored_predictions(s, sf):
+    """Predictions written once with a stable table, and all metrics from the stored rows: counts, report
+    and marks agree with one another."""
+    import os
+    import uuid
+    from flowwatch.session import ensure_checkpoint_dir
+    path = os.path.join(ensure_checkpoint_dir(s), f"predictions-{uuid.uuid4().hex}")
+    lab = _test(s, sf)
+    lab.select(*STORED_COLS).write.partitionBy("label").parquet(path)
+    rows = s.read.schema("window_id bigint, src_ip string, label int, prediction int").parquet(path)
+    conf = E.spec_metrics(E.binary_confusion(rows))
+    report = E.classification_report(rows, names={0: "0", 1: "1", 2: "2"})
+    acc = report.filter("class = 'accuracy'").select(F.col("f1_score").alias("accuracy"), F.col("support").alias("rows")).select(F.struct("*").alias("a")).scalar()
+    return conf.select("*", acc.alias("_a")).select("tp", "fn", "fp", "tn", "detection_rate", "precision", "f1",
+                                                    F.col("_a.accuracy").alias("accuracy"), F.col("_a.rows").alias("rows"))
+
+
+register("stored_prediction_metrics", W(*ALERTS_PLAIN, LAB) + """
+SELECT tp, fn, fp, tn, """ + ", ".join(O.rhe(x, 6) + f" AS {n}" for x, n in (
+    ("CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END", "detection_rate"), ("CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END", "precision"),
+    ("CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END", "f1"), ("correct / n", "accuracy"))) + """, n AS "rows"
+FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM (
+  SELECT count(*) FILTER (WHERE label > 0 AND prediction > 0) AS tp, count(*) FILTER (WHERE label > 0 AND prediction = 0) AS fn,
+    count(*) FILTER (WHERE label = 0 AND prediction > 0) AS fp, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+    count(*) FILTER (WHERE label = prediction) AS correct, count(*) AS n FROM test))""")(_stored_predictions)

@@ -98,19 +98,20 @@ def csv_reader(reader):
             .option("quote", '"').option("sep", ",").option("nullValue", "\u0001").option("emptyValue", ""))
 
 
-def csv_rows(rows: DataFrame) -> DataFrame:
+def csv_rows(rows: DataFrame, *keep: str) -> DataFrame:
     """Raw packets of the rows that :func:`csv_reader` reads: over-long rows (a field beyond the
-    fifteenth, empty or not) are dropped, empty fields are null."""
+    fifteenth, empty or not) are dropped, empty fields are null.  ``keep``: further columns."""
     rows = rows.filter(F.col("_overflow").isNull())
-    return _to_raw(rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in C.RAW_COLUMNS]))
+    return _to_raw(rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in C.RAW_COLUMNS], *keep), *keep)
 
 
-def _to_raw(df: DataFrame) -> DataFrame:
+def _to_raw(df: DataFrame, *keep: str) -> DataFrame:
     ts = F.round(coerce_numeric("time_epoch") * F.lit(1_000_000.0)).try_cast("bigint")
     return df.select(
         F.lit(None).cast("bigint").alias("frame_no"),
         F.coalesce(ts, F.lit(0)).alias("ts_us"),
         *[F.col(c) for c in C.RAW_COLUMNS[1:]],
+        *keep,
     )
 
 
@@ -204,7 +205,7 @@ def quarantined_files(spark: SparkSession, paths) -> DataFrame:
     return packet_files(spark, paths).filter("reason is not null")
 
 
-def read_packets_csv(spark: SparkSession, paths, files: DataFrame | None = None) -> DataFrame:
+def read_packets_csv(spark: SparkSession, paths, files: DataFrame | None = None, place: bool = False) -> DataFrame:
     """A1 + A2 + H6: union of packet-field CSV files in one scan.
 
     * each file's first line is its header, whatever it holds; fields are renamed
@@ -214,12 +215,16 @@ def read_packets_csv(spark: SparkSession, paths, files: DataFrame | None = None)
     * data rows: short ones are null-padded, over-long ones are dropped, empty lines
       are skipped; a row whose time is no number is kept with time 0.
 
-    ``files``: what :func:`packet_files` gives, if it is there already.
+    ``files``: what :func:`packet_files` gives, if it is there already.  ``place``: adds a column of that name
+    that orders rows by file and, within a file, as they stand there (D21).
     """
     good = (packet_files(spark, paths) if files is None else files).filter("reason is null").select(F.col("file").alias("_file"))
     reader = csv_reader(spark.read).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     rows = reader.csv(paths).withColumn("_file", F.col("_metadata.file_path"))
-    return csv_rows(rows.join(good, "_file", "left_semi"))
+    if place:
+        # ids ascend within a block of a file, in the order of its lines
+        rows = rows.withColumn("place", F.struct("_file", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+    return csv_rows(rows.join(good, "_file", "left_semi"), *(["place"] if place else []))
 
 
 def packets_of_files(files: DataFrame) -> DataFrame:

@@ -95,3 +95,30 @@ def test_only_bad_files(spark, tmp):
     with open(os.path.join(path, "a.csv"), "w") as f:
         f.write("one,two\n1,2\n")
     assert P.read_packets_csv(spark, path).count() == 0 and P.quarantined_files(spark, path).count() == 1
+
+
+def test_profile_of_an_export_follows_its_rows(spark, tmp):
+    """First values and values in order of appearance, over files in order of their names and lines in order."""
+    from flowwatch.operators.profile import column_profile
+    path = os.path.join(tmp, "x")
+    os.makedirs(path)
+    r, values = random.Random(3), []
+    for name, n in (("a.csv", 4000), ("b.csv", 300), ("c.csv", 9000)):      # Spark reads large files first
+        rows = csv_text(n, 1).split("\n")[:-1]
+        for i in range(1, len(rows)):
+            cells = rows[i].split(",")
+            flag = r.choice(["", "", "True", "False", "1", f"v{r.randrange(40)}"])
+            cells[-6] = f'"{flag}"'
+            values.append(flag or None)
+            rows[i] = ",".join(cells)
+        with open(os.path.join(path, name), "w") as f:
+            f.write("\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = {x.column: x for x in column_profile(P.read_packets_csv(spark, path, place=True).drop("frame_no"), order="place").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    syn = got["syn"]
+    assert syn.first_values == [v for v in values if v is not None][:20] and syn.rows == len(values)
+    assert syn.distinct_values == [v or "nan" for v in dict.fromkeys(values)][:15]
