@@ -65,6 +65,10 @@ class Memo:
     def __init__(self, most: int):
         self.most, self.young, self.old = most // 2, {}, {}
 
+    def rest(self) -> None:
+        """Between tasks only the young answers are kept: a worker that waits holds half."""
+        self.old = {}
+
     def missing(self, questions) -> list:
         """Questions without an answer; the others are young from now on."""
         if len(self.young) > self.most:

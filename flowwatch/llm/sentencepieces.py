@@ -30,7 +30,7 @@ from flowwatch.llm.common import Memo, lasting, python_tasks
 
 MARK = "▁"
 #: runs that are remembered, the longest of them, and neighbouring pairs that are remembered
-MEMO, MEMO_CHARS, PAIRS = 800_000, 40, 500_000
+MEMO, MEMO_CHARS, PAIRS = 500_000, 40, 250_000
 
 
 #: rank shared by the pieces that are merged last
@@ -246,6 +246,11 @@ class Pieces:
                     memo.young.pop(r, None)
         return out
 
+    def rest(self) -> None:
+        """Gives back memory between tasks."""
+        self.marked.rest()
+        self.plain.rest()
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
@@ -264,6 +269,7 @@ def encoded(spark, text: Column, vocabulary: str) -> Column:
         model = lasting(f"pieces {vocabulary}", lambda: Pieces(vocabulary))
         for texts in batches:
             yield pd.Series([i.astype(np.int32) for i in model.encode_all(list(texts))], dtype=object)
+        model.rest()
 
     return run(text)
 
@@ -301,6 +307,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
                 "ids": [i.astype(np.int32) for i in ids],
                 "ids_crc32": [zlib.crc32(i.astype("<u4").tobytes()) for i in ids],
                 "round_trip": [model.decode(i.tolist()) == (t or "").replace(MARK, " ") for i, t in zip(ids, pdf["text"])]})
+        model.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         run, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")

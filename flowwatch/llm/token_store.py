@@ -133,8 +133,8 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_file(uri: str, doc_ids: list, lengths: list[int], ids: np.ndarray) -> None:
-    """Writes one file under a name of its own and then moves it: a task that runs
-    twice leaves the same file."""
+    """Writes one file under a name of its own and then moves it: a task that runs twice leaves the
+    same file, also where a move does not overwrite."""
     words, starts = pack(ids)
     null = sum(d is None for d in doc_ids)
     first = np.concatenate(([0], np.cumsum(np.asarray(lengths, np.int64)))).astype("<u8")
@@ -146,6 +146,8 @@ def write_file(uri: str, doc_ids: list, lengths: list[int], ids: np.ndarray) ->
     with store.open_output_stream(part) as f:
         for section in (MAGIC, head, known, first, starts, words):
             f.write(section if isinstance(section, bytes) else section.tobytes())
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_file(path)
     store.move(part, path)
 
 
@@ -291,6 +293,7 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, end_id: int = END_I
                     doc_ids, kept, n, files = [], [], 0, files + 1
         if doc_ids:
             yield close()
+        enc.memo.rest()
 
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(
         "doc_id", F.xxhash64("text"))
