@@ -10,8 +10,8 @@ until enough candidates are gathered; these are compared exactly.
 
 Strings are taken from unit vectors minus their block's mean, as a direction that
 all share says nothing about nearness.  How many candidates are enough is measured:
-a sample of the queries is also compared with the whole block, and the number is
-doubled until the forest finds nearly all of their nearest (at last, all rows).
+a sample of the queries is also compared with the whole block, and the number grows
+from a few times k until the forest finds nearly all of their nearest (at last, all rows).
 
 The forest is built per block of vectors, in the task that a block of queries
 visits, so no array grows with the table.
@@ -26,9 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowwatch.llm.common import stored
 from flowwatch.llm.vectors import best, blocked_search, ranked, usable
 
-#: trees, letters of a string, and candidates at which the ascent ends, to begin with: a
-#: share of the block's vectors, and at least so many
-TREES, LETTERS, SHARE, LEAST, SEED = 56, 4, 0.1, 512, 11
+#: trees, letters of a string, candidates at which the ascent ends, to begin with, for each of the k, and their growth
+TREES, LETTERS, START, GROWTH, SEED = 56, 4, 2, 1.5, 11
 BLOCK, QUERY_BLOCK = 8192, 4096
 #: queries of a block that are compared with all rows, and the part of their nearest to be found
 SAMPLE, FOUND = 64, 0.93
@@ -95,7 +94,7 @@ def least_copies(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-            share: float = SHARE, least: int = LEAST, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+            start: int = START, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest found of each row that meets ``queries`` (a condition on ``vec_id``):
     query_id, rank, vec_id, score (cosine in double precision of the original vectors).
 
@@ -123,7 +122,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id",
             top = best(ids[near], score, k)
             return ids[near[top]], score[top]
 
-        enough = max(least, int(share * len(ids)))
+        enough = start * k
         tried = np.unique(np.linspace(0, len(q) - 1, min(len(q), SAMPLE)).astype(int))
         if enough < len(ids):
             true = [compared(i, np.arange(len(ids)))[0] for i in tried]
@@ -131,7 +130,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id",
             got = [compared(i, near)[0] for i, near in zip(tried, forest.candidates(unit[tried], enough))]
             if sum(np.isin(t, g).sum() for t, g in zip(true, got)) >= FOUND * sum(map(len, true)):
                 break
-            enough *= 2
+            enough = int(GROWTH * enough) + 1
         out = []
         for i, near in enumerate(forest.candidates(unit, enough)):
             found_ids, score = compared(i, near)
