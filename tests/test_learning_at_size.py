@@ -47,3 +47,16 @@ def test_weighted_rows_of_a_common_label_are_fitted_in_many_tasks(spark, large_t
     weights = {r["label"]: (r["n"], round(r["weight"], 9)) for r in
                rows.groupBy("label", "weight").agg(F.count("*").alias("n")).collect()}
     assert weights == {0: (2940, round(3000 / (2 * 2940), 9)), 1: (60, 25.0)}
+
+
+def test_flows_are_computed_once_for_the_clusters(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(x):
+        seen.add(1)
+        return x
+
+    flows = _flows(spark, 300).withColumn("total_packets", F.udf(noted, "double")("total_packets"))
+    _, clusters = ml.fit_kmeans(flows, restarts=2)
+    assert clusters.select("window_id").distinct().count() == 300
+    assert seen.value == 300
